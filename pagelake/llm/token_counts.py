@@ -175,7 +175,7 @@ class PrefixCounter:
     def table(self, text: str) -> tuple[list[str], list[int], list[int]]:
         """Units, where they start, and the tokens before each: all that prefix questions need."""
         pieces = self.pieces(text)
-        return pieces, [0, *accumulate(map(len, pieces))], [0, *accumulate(map(self.totals.__getitem__, pieces))]
+        return pieces, [0, *accumulate(map(len, pieces))], [0, *accumulate(self.spaced[x[1:]] if x[0] == " " else self.totals[x] for x in pieces)]
 
     def prefix_total(self, text: str, end: int, pieces: list[str], starts: list[int], before: list[int]) -> int:
         """The exact count of text[:end]; only the piece that it cuts and the one before are read again."""
@@ -192,13 +192,19 @@ class PrefixCounter:
         """Code points of the longest prefix of at most ``budget`` tokens."""
         if not text:
             return 0
-        pieces, starts, before = self.table(text)
+        reach = 8 * budget + 64
+        while True:
+            part = text[:reach]
+            pieces, starts, before = self.table(part)
+            k = bisect_right(before, budget) - 1  # pieces before k fit, piece k does not
+            if len(part) == len(text) or k + 4 < len(pieces):
+                break
+            reach *= 4
         if before[-1] <= budget:
             return len(text)
-        k = bisect_right(before, budget) - 1  # pieces before k fit, piece k does not
-        stop = min(len(text), starts[min(k + 2, len(pieces))])
+        stop = min(len(part), starts[min(k + 2, len(pieces))])
         for e in range(stop, -1, -1):
-            if self.prefix_total(text, e, pieces, starts, before) <= budget:
+            if self.prefix_total(part, e, pieces, starts, before) <= budget:
                 return e
         return 0
 
@@ -213,8 +219,12 @@ class _Totals(dict):
     def __missing__(self, unit: str) -> int:
         if (n := self.old.get(unit)) is None:
             c, text = self.counter, self.lead + unit
-            if text in c.special:
+            if unit.isalpha():  # one piece: letters, with or without the space
+                n = c.piece(text.encode())[0][-1]
+            elif text in c.special:
                 n = 1
+            elif unit[:-1].isalpha() and unit[-1] in ".,;:!?|":
+                n = self[unit[:-1]] + c.totals[unit[-1]]
             elif len(found := c.find(text)) > 1:
                 n = sum(map(c.totals.__getitem__, found))
             else:
