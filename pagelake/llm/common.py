@@ -10,6 +10,9 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +104,16 @@ def chunks(items: Iterable, size: int) -> Iterator[list]:
         yield part
 
 
+def by_size(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``limit`` bytes together, a longer one alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def tokenizer_path(name: str) -> str:
     """A public tokenizer's file: the folder in PAGELAKE_TOKENIZERS, else the installed package."""
     folder = os.environ.get("PAGELAKE_TOKENIZERS")

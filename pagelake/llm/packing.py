@@ -15,6 +15,7 @@ empty result; equal rows are pieces of their own; a null key is a key; other col
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -26,50 +27,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import cut, gapless_rank, ship, table, tokenizer_path
+from pagelake.llm.common import by_size, cut, gapless_rank, ship, table, tokenizer_path
 
 #: White space that separates words for any word-level pre-tokenizer here.
 _SPACE = str.maketrans("\n\r\t", "   ")
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,;:!?|"
+#: Characters of one text that are split into words at once.
+LONG = 4_000_000
 
 
 class WordEncoder:
     """Ids of texts whose pre-tokenizer never joins characters across white space: a word is encoded
-    once by the tokenizers library and then looked up. ``cache``: words that a worker keeps at most."""
+    once by the tokenizers library and then looked up. ``cache``: words that a worker keeps at most.
 
-    def __init__(self, path: str, cache: int = 250_000):
+    Words of plain Latin letters, alone or before one mark, are one piece and that mark; new ones go
+    to the library many to a text and are told apart by the tokens that end a word.
+    """
+
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache, self.new, self.old = cache, {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _known(self, w: str) -> bytes | None:
+        x = self.new.get(w)
+        return self.old.get(w) if x is None else x
+
+    def _letters(self, words: list[str]) -> None:
+        """Learn lower-case words of plain letters."""
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stop) != len(group):
+                raise AssertionError("a word of letters is not one piece")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(group, stop):
+                self.new[w] = raw[start:end]
+                start = end
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.new) + len(words) > self.cache:
+        """Make all of ``words`` known in ``new``."""
+        if len(self.new) + 2 * len(words) > self.cache:
             self.old, self.new = self.new, {}
-        unknown = []
+        new, odd, plain, marked = self.new, [], {}, []
         for w in words:
-            if (x := self.old.get(w)) is None:
-                unknown.append(w)
+            if (x := self.old.get(w)) is not None:
+                new[w] = x
+            elif _PLAIN.fullmatch(w):
+                plain[w.lower()] = None
+                marked.append((w, w.lower(), ""))
+            elif w and w[-1] in _MARKS and _PLAIN.fullmatch(w[:-1]):
+                plain[w[:-1].lower()] = None
+                marked.append((w, w[:-1].lower(), w[-1]))
             else:
-                self.new[w] = x
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            self.new[w] = np.array(e.ids, "<u4").tobytes()
+                odd.append(w)
+        for m in _MARKS:
+            if m not in new:
+                new[m] = np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            new[w] = np.array(e.ids, "<u4").tobytes()
+        unknown = []
+        for w in plain:
+            if w not in new:
+                if (x := self.old.get(w)) is not None:
+                    new[w] = x
+                else:
+                    unknown.append(w)
+        self._letters(unknown)
+        for w, stem, mark in marked:
+            new[w] = new[stem] + new[mark] if mark else new[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if len(texts) == 1 and len(texts[0]) > LONG:  # in parts, cut at a space
+            t = texts[0]
+            at = t.rfind(" ", 0, LONG) + 1 or t.find(" ", LONG) + 1 or len(t)
+            return [self.encode([t[:at]])[0] + (self.encode([t[at:]])[0] if at < len(t) else b"")] if at <= LONG or at < len(t) else [self._whole(t)]
         split = [t.translate(_SPACE).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        new, fresh = self.new, set()
+        fresh: set[str] = set()
         for words in split:
             fresh.update(words)
-        if missing := [w for w in fresh if w not in new]:
-            if len(fresh) > self.cache:  # more words than are kept: look the batch up in halves
+        if missing := [w for w in fresh if w not in self.new]:
+            if 2 * len(fresh) + len(_MARKS) > self.cache:  # more words than are kept: in halves
                 if len(texts) == 1:
-                    return [np.array(self.tokenizer.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()]
+                    return [self._whole(texts[0])]
                 return self.encode(texts[: len(texts) // 2]) + self.encode(texts[len(texts) // 2 :])
+            before = self.new
             self._learn(missing)
-            if self.new is not new:
+            if self.new is not before:
                 self._learn([w for w in fresh if w not in self.new])
         return [b"".join(map(self.new.__getitem__, words)) for words in split]
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 @functools.cache
 def encoder(path: str) -> WordEncoder:
@@ -85,8 +142,7 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool
 
         enc, close = encoder(path), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in by_size(whole, 1):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, got in enumerate(enc.encode([t or "" for t in b.column(1).to_pylist()])):
                     got += close
@@ -163,51 +219,78 @@ class Group:
     used: int
 
 
-def plan_groups(histogram: dict[int, int], size: int, bins: int = 64, most: int = 4) -> list[Group]:
-    """Sequences for a histogram of lengths. Its work and result follow the number of lengths, not of pieces."""
+def plan_groups(histogram: dict[int, int], size: int, bins: int = 64, most: int = 4, shares: tuple[float, ...] = (1.0, 0.9, 0.75, 0.5)) -> list[Group]:
+    """Sequences for a histogram of lengths. Its work and result follow the number of lengths, not of pieces.
+
+    The fitted counts are rounded down whole and at a few smaller shares, which leave more pieces to fill
+    gaps; the plan of the fewest sequences counts.
+    """
+    width = -(-size // bins)
+    full = size // width
+    b = np.zeros(full)
+    for n, c in histogram.items():
+        if n < size and n <= full * width:
+            b[-(-n // width) - 1] += c
+    x, a = np.zeros(0), np.zeros((full, 0))
+    if b.any():
+        a = patterns(full, most)
+        x = nnls(a, b)
+    plans = [_planned(histogram, size, width, a, x * s) for s in shares]
+    return min(plans, key=lambda g: sum(p.count for p in g))
+
+
+def _planned(histogram: dict[int, int], size: int, width: int, a: np.ndarray, x: np.ndarray) -> list[Group]:
     left = {n: c for n, c in histogram.items() if c > 0}
     groups = [Group(left.pop(size), ((size, 1),), size)] if size in left else []
-    width = -(-size // bins)
     by_bin: dict[int, list[int]] = defaultdict(list)
     for n in sorted(left):
         by_bin[-(-n // width)].append(n)
-    full = size // width
-    if full and left:
-        a = patterns(full, most)
-        b = np.array([sum(left[n] for n in by_bin[k + 1]) for k in range(full)], float)
-        x = nnls(a, b)
+    if len(x):
+        lengths = sorted(left)
         for k in np.argsort(-x):
             need = {int(i) + 1: int(a[i, k]) for i in np.flatnonzero(a[:, k])}
-            times = min([int(x[k] + 1e-6), *(sum(left[n] for n in by_bin[i]) // m for i, m in need.items())])
-            parts = [i for i, m in need.items() for _ in range(m)]
+            times = int(x[k] + 1e-6)
+            parts = sorted((i for i, m in need.items() for _ in range(m)), reverse=True)
             while times > 0:
-                taken = [by_bin[i][-1] for i in parts]  # the longest that are left of each bin
+                taken = _filled(parts, by_bin, left, lengths, size)
+                if taken is None:
+                    break
                 want = defaultdict(int)
                 for n in taken:
                     want[n] += 1
-                if any(left[n] < m for n, m in want.items()):  # the last of a length: one sequence, mixed
-                    taken = []
-                    for i in parts:
-                        n = by_bin[i][-1]
-                        taken.append(n)
-                        left[n] -= 1
-                        if not left[n]:
-                            del left[n]
-                            by_bin[i].pop()
-                    groups.append(Group(1, _runs(taken), sum(taken)))
-                    times -= 1
-                    continue
                 now = min([times, *(left[n] // m for n, m in want.items())])
                 for n, m in want.items():
                     left[n] -= m * now
                     if not left[n]:
                         del left[n]
                         by_bin[-(-n // width)].remove(n)
+                        lengths.pop(bisect_left(lengths, n))
                 groups.append(Group(now, _runs(taken), sum(taken)))
                 times -= now
     return _best_fit(groups, left, size)
 
 
+def _filled(parts: list[int], by_bin: dict[int, list[int]], left: dict[int, int], lengths: list[int], size: int) -> list[int] | None:
+    """Lengths for one sequence of a pattern: the longest left of each bin but the last, and then the
+    longest of all that fits, which makes up for what the bins round up. None where a bin has run out."""
+    taken: list[int] = []
+    spent: dict[int, int] = defaultdict(int)
+    for i in parts[:-1]:
+        n = next((n for n in reversed(by_bin[i]) if left[n] > spent[n]), None)
+        if n is None:
+            return None
+        taken.append(n)
+        spent[n] += 1
+    room, at = size - sum(taken), bisect_left(lengths, size - sum(taken) + 1) - 1
+    while at >= 0 and left[lengths[at]] <= spent[lengths[at]]:
+        at -= 1
+    if at < 0:
+        return None
+    if parts[:-1] or lengths[at] == room:
+        return [*taken, lengths[at]]
+    return None
+
+
 def _runs(lengths: list[int]) -> tuple[tuple[int, int], ...]:
     out: list[tuple[int, int]] = []
     for n in sorted(lengths, reverse=True):
@@ -229,24 +312,25 @@ def _best_fit(groups: list[Group], left: dict[int, int], size: int) -> list[Grou
         while c:
             at = bisect_left(rooms, (n, -1))
             if at == len(rooms):
-                groups.append(Group(c, (), 0))
-                insort(rooms, (size, len(groups) - 1))
+                times = min(size // n, c)
+                count = c // times
+                c -= count * times
+                groups.append(Group(count, ((n, times),), n * times))
+                if n * times < size:
+                    insort(rooms, (size - n * times, len(groups) - 1))
                 continue
             room, k = rooms.pop(at)
             g = groups[k]
-            times = min(room // n, max(1, c // g.count))
+            times = min(room // n, c)
             count = min(g.count, c // times)
             if count < g.count:
                 groups.append(Group(g.count - count, g.runs, g.used))
-                if g.used or g.count - count == 0:
-                    insort(rooms, (room, len(groups) - 1))
-                else:
-                    groups.pop()
+                insort(rooms, (room, len(groups) - 1))
             groups[k] = Group(count, (*g.runs, (n, times)), g.used + n * times)
             c -= count * times
             if size > groups[k].used:
                 insort(rooms, (size - groups[k].used, k))
-    return [g for g in groups if g.runs]
+    return groups
 
 
 def plan(histogram: dict[int, int], size: int) -> tuple[np.ndarray, ...]:
