@@ -100,7 +100,7 @@ class DocumentWriter(DataSourceWriter):
 
 
 def register(spark: SparkSession) -> None:
-    from pagelake.sources.files import ship
+    from pagelake.session import ship
 
     ship(spark)
     spark.dataSource.register(DocumentSource)

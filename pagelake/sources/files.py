@@ -6,13 +6,10 @@ row with error_class and error_msg, or is dropped, or fails the job, by ``mode``
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +21,7 @@ from pagelake.functions import records as rc
 from pagelake.functions.covered import page_text
 from pagelake.functions.errors import DocumentError
 from pagelake.functions.tlv import ints
+from pagelake.session import ship
 from pagelake.sources.model import Document
 from pagelake.sources.render import render_page
 
@@ -107,22 +105,6 @@ def _page_rows(table: str, d: Document, include_hidden: bool) -> Iterator[tuple]
                 yield n, k, i.get("object"), i["kind"], i.get("color"), i.get("text"), i.get("x"), i.get("y"), i.get("size"), i.get("angle"), i.get("xs"), json.dumps(i["path"]) if "path" in i else None, i["clip"], i.get("mul"), i.get("alpha")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_pagelake_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    out = os.path.join(tempfile.mkdtemp(prefix="pagelake-"), "pagelake_src.zip")
-    Path(out).write_bytes(buffer.getvalue())
-    sc.addPyFile(out)
-    sc._pagelake_shipped = True
-
-
 def _arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
