@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,26 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagelake.session import ship as ship  # re-exported for the operators
+
 #: Rows of one key that a single window group holds at most, about.
 RANK_GROUP = 4096
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each SparkContext."""
-    sc = spark.sparkContext
-    if getattr(sc, "_pagelake_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="pagelake-")) / "pagelake_src.zip"
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    out.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(out))
-    sc._pagelake_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one only where none is set, as in tests."""
     sc = spark.sparkContext
