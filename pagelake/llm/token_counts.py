@@ -31,7 +31,7 @@ from pagelake.llm.common import ship, table, tokenizer_path
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE files. White space is Unicode's property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces and words whose totals a worker keeps at most.
-CACHE = 300_000
+CACHE = 500_000
 #: White space other than spaces and line feeds.
 ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 

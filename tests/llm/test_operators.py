@@ -362,3 +362,33 @@ def test_word_ids_equal_the_library():
     got = e.encode(texts)
     for x, b in zip(texts, got):
         assert np.frombuffer(b, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+# pieces
+
+
+def test_streamed_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    from pagelake.llm import pieces as pc
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp, p = sentencepiece.SentencePieceProcessor(model_file=path), pc.Pieces(path, cache=50)
+    r = random.Random(8)
+    texts = ["", " ", "a", "  a b ", "a\n\tb", "日本語😀\x00x", " lead", "a▁b", "<s>x</s>", "end. \n Next\n", "hello " * 50, "a" * 700, "the" * 300, "—" * 40, " " * 90]
+    texts += ["".join(r.choice(" \n abcdetion thé世😀▁.") for _ in range(r.randint(1, 60))) for _ in range(250)]
+    for t in texts:
+        got = p.encode(t)
+        assert np.frombuffer(got, "<u4").tolist() == sp.encode(t), t
+        assert p.decode(got) == sp.decode(sp.encode(t)), t
+    long = "".join(r.choice("abcdetionthers") for _ in range(6000))
+    s = pc.Stream(p)
+    out = []
+    for k in range(0, len(long), 700):  # in portions, as a stream
+        out += s.feed(long[k : k + 700])
+    assert out and out + s.finish() == sp.encode(long)[1:] or sp.encode(long)[0] != sp.piece_to_id("▁")
+    assert s.widest < 700 + 8 * p.longest
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:40])], "doc_id long, text string")
+    made = pc.encode(df, path, with_ids=True)
+    assert all(x.round_trip and x.n_ids == len(x.ids) for x in made.collect())
+    assert {x.doc_id: x.text for x in pc.decode(made, path).collect()} == {k: sp.decode(sp.encode(t)) for k, t in enumerate(texts[:40])}
