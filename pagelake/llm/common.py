@@ -97,6 +97,21 @@ def by_size(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Itera
             yield batch.slice(a, b - a)
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores after it until no column has it (Spark does not tell letter case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns ``keep`` and the text, sent once; and the place of the text."""
+    if text in keep:
+        return df.select(*(F.col(f"`{k}`") for k in keep)), keep.index(text)
+    return df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias(unused("_text", keep))), len(keep)
+
+
 def tokenizer_path(name: str) -> str:
     """A public tokenizer's file: the folder in PAGELAKE_TOKENIZERS, else the installed package."""
     folder = os.environ.get("PAGELAKE_TOKENIZERS")

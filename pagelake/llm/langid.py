@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import ship, table
+from pagelake.llm.common import by_size, ship, table, with_text
 
 DIM = 1024
 SLOTS = 1024
@@ -157,17 +157,19 @@ def learn(labelled: DataFrame, per_language: int = 3000, text: str = "text", lan
     return Profiles(names, rows)
 
 
-def predict(df: DataFrame, profiles: Profiles, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with lang_pred and score."""
+def predict(df: DataFrame, profiles: Profiles, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` with the language and the score, called ``names``."""
     ship(df.sparkSession)
+    sent, at = with_text(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = profiles.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        for whole in batches:
+            for b in by_size(whole, at):
+                found, scores = profiles.predict(b.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), "lang_pred string", "score double"])
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), f"`{names[0]}` string, `{names[1]}` double"])
+    return sent.mapInArrow(run, schema)
 
 
 def fold(key: str, parts: int) -> Column:

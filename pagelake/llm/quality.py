@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import ship, table
+from pagelake.llm.common import by_size, ship, table, with_text
 from pagelake.llm.langid import fold
 from pagelake.llm.simhash import _mix, word_hashes
 
@@ -180,19 +180,21 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, bins: int = 32, rate: f
     return model
 
 
-def _with_features(df: DataFrame, keep: list[str], then, added: str, text: str = "text") -> DataFrame:
+def _with_features(df: DataFrame, keep: list[str], then, name: str, kind: str, text: str = "text") -> DataFrame:
+    """The columns ``keep`` with ``then`` of the features, called ``name``."""
     ship(df.sparkSession)
+    sent, at = with_text(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.quality import FEATURES, features
 
-        for b in batches:
-            x = np.array([features(t) for t in b.column(b.num_columns - 1).to_pylist()], float).reshape(-1, len(FEATURES))
-            name, col = then(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), col], [*keep, name])
+        for whole in batches:
+            for b in by_size(whole, at):
+                x = np.array([features(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), then(x)], [*keep, name])
 
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), added])
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), f"`{name}` {kind}"])
+    return sent.mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 16_000, key: str = "doc_id", text: str = "text") -> Model:
@@ -202,15 +204,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     draw = F.pmod(F.xxhash64(F.lit(29), F.col(key)), F.lit(1_000_000))
     chosen = usable.filter(draw < min(1_000_000, -(-rows * 1_000_000 // max(1, n))))
     known = docs.select(key, text).join(F.broadcast(chosen), key)
-    got = _with_features(known, ["_y"], lambda x: ("f", pa.array(x.tolist(), pa.list_(pa.float64()))), "f array<double>", text).collect()
+    got = _with_features(known, ["_y"], lambda x: pa.array(x.tolist(), pa.list_(pa.float64())), "f", "array<double>", text).collect()
     got.sort(key=lambda r: (r["_y"], r["f"]))
     x = np.array([r["f"] for r in got], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["_y"] for r in got], float))
 
 
-def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with score."""
-    return _with_features(df, keep, lambda x: ("score", pa.array(model.score(x), pa.float64())), "score double", text)
+def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` with the score, called ``name``."""
+    return _with_features(df, keep, lambda x: pa.array(model.score(x), pa.float64()), name, "double", text)
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
