@@ -10,8 +10,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each SparkContext."""
+    if spark.conf.get(BATCH) == "10000":  # the default is for short rows; ours hold whole texts and files
+        spark.conf.set(BATCH, "2000")
     sc = spark.sparkContext
     if getattr(sc, "_pagelake_shipped", False):
         return
