@@ -97,6 +97,18 @@ def by_size(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Itera
             yield batch.slice(a, b - a)
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """A worker's table that outlives a batch. One is kept at a time: workers are used again by other
+    stages, which must not pay for the memory of those before."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def unused(name: str, columns: Iterable[str]) -> str:
     """``name``, with underscores after it until no column has it (Spark does not tell letter case apart)."""
     taken = {c.lower() for c in columns}

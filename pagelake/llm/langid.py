@@ -24,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, ship, table, with_text
+from pagelake.llm.common import by_size, kept, ship, table, with_text
 
 DIM = 1024
 SLOTS = 1024
-#: Code points of a batch that are handled at once.
-CHARS = 1_000_000
-KNOWN = 32_768
+#: Trigram vectors that a worker keeps, and that it adds up at once.
+KNOWN, AT_ONCE = 32_768, 2048
 
 
 @functools.cache
@@ -77,9 +76,9 @@ class Space:
     def vector(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The bundle of one text's trigrams."""
         out = np.zeros(self.dim, np.float32)
-        for k in range(0, len(codes), KNOWN // 2):
-            rows = self.rows(codes[k : k + KNOWN // 2])
-            out += counts[k : k + KNOWN // 2].astype(np.float32) @ self.vectors[rows].astype(np.float32)
+        for k in range(0, len(codes), AT_ONCE):
+            rows = self.rows(codes[k : k + AT_ONCE])
+            out += counts[k : k + AT_ONCE].astype(np.float32) @ self.vectors[rows].astype(np.float32)
         return out
 
 
@@ -101,9 +100,8 @@ def trigrams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield i, codes[first], np.diff(np.append(first, len(codes)))
 
 
-@functools.cache
 def space(dim: int) -> Space:
-    return Space(dim)
+    return kept(("langid", dim), lambda: Space(dim))
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,6 @@ empty result; equal rows are pieces of their own; a null key is a key; other col
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, cut, gapless_rank, ship, table, tokenizer_path
+from pagelake.llm.common import by_size, chunks, cut, gapless_rank, kept, ship, table, tokenizer_path
 
 #: White space that separates words for any word-level pre-tokenizer here.
 _SPACE = str.maketrans("\n\r\t", "   ")
@@ -45,7 +44,7 @@ class WordEncoder:
     to the library many to a text and are told apart by the tokens that end a word.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,8 +59,8 @@ class WordEncoder:
 
     def _letters(self, words: list[str]) -> None:
         """Learn lower-case words of plain letters."""
-        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        few = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for group, e in (x for part in chunks(few, 8) for x in zip(part, self.tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False))):
             ids = np.array(e.ids, "<u4")
             stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stop) != len(group):
@@ -128,9 +127,8 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@functools.cache
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(("packing", path), lambda: WordEncoder(path))
 
 
 def pieces(df: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -16,7 +16,6 @@ a text decodes to a space, as in the library; texts are read whole; equal texts
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm.common import by_size, ship, table, tokenizer_path
+from pagelake.llm.common import by_size, kept, ship, table, tokenizer_path
 
 MARK = "▁"
 _SEGMENTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -196,9 +195,8 @@ class Stream:
         return out
 
 
-@functools.cache
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return kept(("pieces", path), lambda: Pieces(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:

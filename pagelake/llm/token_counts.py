@@ -14,7 +14,6 @@ the same name is added, which then replaces them.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from bisect import bisect_right
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import ship, table, tokenizer_path
+from pagelake.llm.common import by_size, kept, ship, table, tokenizer_path
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE files. White space is Unicode's property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -237,21 +236,20 @@ class _Totals(dict):
         return n
 
 
-@functools.cache
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return kept(("token_counts", path), lambda: PrefixCounter(path))
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", budget: int | None = None) -> DataFrame:
     """key, n_bytes, n_tokens, and with a budget cut_chars: the longest prefix within it, in code points."""
     ship(df.sparkSession)
-    kept = df.schema[key].dataType.simpleString()
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.token_counts import counter
 
         c = counter(path)
-        for b in batches:
+        for b in (part for whole in batches for part in by_size(whole, 1)):
             texts = b.column(1).to_pylist()
             n = [c.total(t) for t in texts]
             cols = [b.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64())]
@@ -261,7 +259,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
                 names.append("cut_chars")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"`{key}` {kept}, n_bytes long, n_tokens long" + (", cut_chars long" if budget is not None else "")
+    schema = f"`{key}` {kind}, n_bytes long, n_tokens long" + (", cut_chars long" if budget is not None else "")
     return df.select(key, text).mapInArrow(run, schema)
 
 
