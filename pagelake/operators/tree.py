@@ -58,6 +58,7 @@ def named_attrs(attrs: DataFrame, defs: DataFrame) -> DataFrame:
     return joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def change_attrs(attrs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Raw edits (file_id, rec_no, tag, new_value, del): set where there is a value, drop where del."""
-    return attrs.join(edits, FILE + ["rec_no", "tag"], "left").filter(~F.coalesce("del", F.lit(False))).withColumn("value", F.coalesce("new_value", "value")).drop("new_value", "del")
+def change_attrs(attrs: DataFrame, edits: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Raw edits (new_value, del) by ``keys``: set where there is a value, drop where del."""
+    joined = attrs.join(edits, keys or FILE + ["rec_no", "tag"], "left").filter(~F.coalesce("del", F.lit(False)))
+    return joined.withColumn("value", F.coalesce("new_value", "value")).drop("new_value", "del")

@@ -81,8 +81,7 @@ def set_attr(spark, sf):
     attrs = frame(spark, sf, ATTRS).distinct().withColumn("k", F.col("value"))
     edits = attrs.filter("tag % 7 in (1, 2)").select("file_id", "rec_no", "tag", "attr_no", "k", (F.col("value") + 1).alias("new_value"), (F.col("tag") % 7 == 2).alias("del"))
     source = frame(spark, sf, ATTRS).withColumn("k", F.col("value"))
-    out = source.join(edits, ["file_id", "rec_no", "tag", "attr_no", "k"], "left").filter(~F.coalesce("del", F.lit(False)))
-    return out.select("file_id", "rec_no", "attr_no", "tag", F.coalesce("new_value", "value").alias("value"))
+    return tree.change_attrs(source, edits, ["file_id", "rec_no", "tag", "attr_no", "k"]).select("file_id", "rec_no", "attr_no", "tag", "value")
 
 
 # pages and objects
