@@ -32,10 +32,23 @@ from pagelake.llm.common import by_size, chunks, cut, gapless_rank, kept, ship,
 _SPACE = str.maketrans("\n\r\t", "   ")
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = ".,;:!?|"
+_BEYOND = re.compile("[^\x00-\xff]")
+_MARKED = re.compile("(?<=[a-zß-öø-ÿ])([.,;:])(?=[ \n])")
+#: Words that a worker keeps: about 200 bytes each, twice over.
+WORDS = 250_000
 #: Characters of one text that are split into words at once.
 LONG = 4_000_000
 
 
+def _words(text: str) -> list[str]:
+    """Words between white space. In texts of Latin-1, where letter case does not reach the ids, they are
+    in lower case, and a mark between a letter and white space is a word: fewer words to look up."""
+    if text.isascii() or not _BEYOND.search(text):
+        if "<|" not in text:
+            text = _MARKED.sub(r" \1", text.lower())
+    return (text.translate(_SPACE) if "\t" in text or "\r" in text else text.replace("\n", " ")).split(" ")
+
+
 class WordEncoder:
     """Ids of texts whose pre-tokenizer never joins characters across white space: a word is encoded
     once by the tokenizers library and then looked up. ``cache``: words that a worker keeps at most.
@@ -44,7 +57,7 @@ class WordEncoder:
     to the library many to a text and are told apart by the tokens that end a word.
     """
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,7 +85,7 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Make all of ``words`` known in ``new``."""
-        if len(self.new) + 2 * len(words) > self.cache:
+        if len(self.new) + len(words) > self.cache:
             self.old, self.new = self.new, {}
         new, odd, plain, marked = self.new, [], {}, []
         for w in words:
@@ -108,7 +121,7 @@ class WordEncoder:
             t = texts[0]
             at = t.rfind(" ", 0, LONG) + 1 or t.find(" ", LONG) + 1 or len(t)
             return [self.encode([t[:at]])[0] + (self.encode([t[at:]])[0] if at < len(t) else b"")] if at <= LONG or at < len(t) else [self._whole(t)]
-        split = [t.translate(_SPACE).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
+        split = [_words(t) for t in texts]
         fresh: set[str] = set()
         for words in split:
             fresh.update(words)
@@ -127,18 +140,18 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def encoder(path: str) -> WordEncoder:
-    return kept(("packing", path), lambda: WordEncoder(path))
+def encoder(path: str, cache: int = WORDS) -> WordEncoder:
+    return kept(("packing", path, cache), lambda: WordEncoder(path, cache))
 
 
-def pieces(df: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pieces(df: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool = False, text: str = "text", key: str = "doc_id", cache: int = WORDS) -> DataFrame:
     """key, piece, start, length, ids_crc32 of every piece of every document, and its ids if asked for."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.packing import encoder
 
-        enc, close = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, close = encoder(path, cache), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for b in by_size(whole, 1):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -370,10 +383,10 @@ def pack(pieces_: DataFrame, size: int) -> DataFrame:
     return ranked.select(*names, "_rank").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
-    return pack(cut(pieces(docs, path, size)), size)
+def pack_documents(docs: DataFrame, path: str, size: int = 2048, cache: int = WORDS) -> DataFrame:
+    return pack(cut(pieces(docs, path, size, cache=cache)), size)
 
 
-def op10_nnls_packing(spark: SparkSession, sf_dir: str, size: int = 2048, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(tokenizer), size)
+def op10_nnls_packing(spark: SparkSession, sf_dir: str, size: int = 2048, tokenizer: str = "word_bpe_49k.json", cache: int = 700_000) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(tokenizer), size, cache)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
