@@ -124,3 +124,16 @@ def test_limits_text():
 
 def test_search_text():
     assert tx.matches("aaAa", "aa") == [0, 1, 2] and tx.matches("ＡＢc", "abC") == [0] and tx.matches("x", "") == []
+
+
+def test_compound_files():
+    from pagelake.functions import cfb
+
+    streams = {"big": bytes(range(250)) * 20, "a": b"small", "bb": b"", "ccc": b"x" * 4095, "\x01Ole": b"y" * 70}
+    out = cfb.write(streams, cfb.METAFILE)
+    assert out[:8].hex() == "d0cf11e0a1b11ae1" and len(out) % 512 == 0
+    assert out[512:5512] == streams["big"] and cfb.read(out) == streams
+    assert [cfb.depth(n) for n in (1, 3, 4)] == [0, 1, 2]
+    assert cfb.read(cfb.write({"one": b"1" * 70_000}))["one"] == b"1" * 70_000
+    file = cfb.ole_file(b"E" * 300)
+    assert len(file) == 22 + int.from_bytes(file[18:22], "little") and cfb.read(file[22:])["CONTENTS"][112:] == b"E" * 300

@@ -101,6 +101,8 @@ def test_pages_move_turn_and_copy():
     assert len(ct.segments(back.raw)) == 1 and [(p.w, p.h) for p in pages] == [(21000, 29700), (29700, 21000), (36400, 25700)]
     assert [i["jpeg"] for i in render_page(back, pages[1]).images] == [_jpeg(40, 30)] and back.container.trailer.checks
     assert document_text(back)[1] == "under"  # text under its own page's picture stays
+    pictures.set_thumbnail(d, 1, np.zeros((3, 3, 4), np.uint8))
+    assert len(md.Document.open(d.save_fresh()).entries) == len(back.entries) + 1
     new = md.blank()
     assert edits.insert_pages_from(new, 1, back, [1, 0, 1]) == 3
     assert len(new.pending) == 2  # each entry copied once
