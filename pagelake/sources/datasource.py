@@ -56,11 +56,11 @@ class DocumentReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[tuple]:
         from pagelake.functions import limits as lim
-        from pagelake.sources.files import SCHEMAS, _arrow_schema, _rows
+        from pagelake.sources.files import SCHEMAS, _rows
         from pagelake.sources.model import Document
 
         table, mode = self.options.get("table", "objects"), self.options.get("mode", "PERMISSIVE")
-        limits, width = lim.Limits.from_options(self.options), len(_arrow_schema(SCHEMAS[table])) - 1
+        limits, width = lim.Limits.from_options(self.options), SCHEMAS[table].count(",")  # columns after the path
         for path in partition.paths:
             try:
                 with open(path, "rb") as f, lim.scope(limits):
