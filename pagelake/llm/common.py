@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -105,10 +106,20 @@ def kept(key: tuple, make):
     stages, which must not pay for the memory of those before."""
     if key not in _kept:
         _kept.clear()
+        give_back()
         _kept[key] = make()
     return _kept[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators would keep for this worker alone."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def unused(name: str, columns: Iterable[str]) -> str:
     """``name``, with underscores after it until no column has it (Spark does not tell letter case apart)."""
     taken = {c.lower() for c in columns}

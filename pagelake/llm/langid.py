@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, kept, ship, table, with_text
+from pagelake.llm.common import by_size, give_back, kept, ship, table, with_text
 
 DIM = 1024
 SLOTS = 1024
@@ -165,6 +165,7 @@ def predict(df: DataFrame, profiles: Profiles, keep: list[str], text: str = "tex
             for b in by_size(whole, at):
                 found, scores = profiles.predict(b.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
+        give_back()
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), f"`{names[0]}` string, `{names[1]}` double"])
     return sent.mapInArrow(run, schema)

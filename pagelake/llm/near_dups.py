@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import cut, ship, table
+from pagelake.llm.common import by_size, cut, give_back, kept, ship, table
 from pagelake.llm.components import components
 from pagelake.llm.simhash import _mix, _powers
 
@@ -78,10 +78,12 @@ def sketches(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.near_dups import shingle_set
 
-        for b in batches:
+        kept(("near_dups",), dict)
+        for b in (part for whole in batches for part in by_size(whole, 1)):
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch"])
+        give_back()
 
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n long, digest string, sketch array<long>")
 
@@ -116,6 +118,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text",
             if len(some):
                 sets = [shingle_set(t, words).tobytes() for t in b.column(2).take(some).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.array(sets, pa.binary())], ["id", "s"])
+        give_back()
 
     some = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text)
     some = some.select("id", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at"), text).mapInArrow(run, "id long, s binary")
@@ -134,6 +137,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             m = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(m), t.column(1).filter(m)], ["u", "v"])
+        give_back()
 
     left = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, chunks, cut, gapless_rank, kept, ship, table, tokenizer_path
+from pagelake.llm.common import by_size, chunks, cut, gapless_rank, give_back, kept, ship, table, tokenizer_path
 
 #: White space that separates words for any word-level pre-tokenizer here.
 _SPACE = str.maketrans("\n\r\t", "   ")
@@ -168,6 +168,7 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool
                             ids.append(np.frombuffer(part, "<u4").astype(np.int64))
                 cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int64()))] * with_ids, [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        give_back()
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return df.select(key, text).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, ship, table, with_text
+from pagelake.llm.common import by_size, give_back, kept, ship, table, with_text
 from pagelake.llm.langid import fold
 from pagelake.llm.simhash import _mix, word_hashes
 
@@ -188,10 +188,12 @@ def _with_features(df: DataFrame, keep: list[str], then, name: str, kind: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.quality import FEATURES, features
 
+        kept(("quality",), dict)
         for whole in batches:
             for b in by_size(whole, at):
                 x = np.array([features(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), then(x)], [*keep, name])
+        give_back()
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), f"`{name}` {kind}"])
     return sent.mapInArrow(run, schema)
