@@ -97,3 +97,21 @@ def test_the_language_stage_drops_only_texts_of_no_language(spark, tables):
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.language(spark, docs, path).collect()}
     if some:
         assert (0, None) not in kept and (7, "!!! 123") not in kept and (3, DOCS[3][1]) in kept
+
+
+def test_the_language_stage_drops_lettered_texts_of_no_learned_language(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = {"en": "the of and to in is that it was for on are with as his they be at this from have or by one had not but what all were when we there can".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei".split()}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.choice((1, 2, 5, 30, 120, 400)))), lang) for k in range(1200) for lang in [("en", "de")[k % 2]]]
+    alphabet = [chr(c) for c in range(0x4E00, 0x5200)]
+    foreign = [(5000 + k, " ".join("".join(rng.choices(alphabet, k=5)) for _ in range(200)), None) for k in range(20)]
+    spark.createDataFrame(rows + foreign, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert kept >= {k for k, t, _ in rows if len(t) < 20}
+    assert len(kept & {r[0] for r in rows}) >= 0.995 * len(rows)
+    assert len(kept & {r[0] for r in foreign}) <= 1
