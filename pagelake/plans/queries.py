@@ -25,6 +25,14 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def without(name: str, bound: str) -> str:
+    """The SQL of a query that reads a subset, over the whole table."""
+    sql = ORACLE_SQL[name]
+    if bound not in sql:
+        raise ValueError(f"{name} has no {bound!r}")
+    return sql.replace(bound, "")
+
+
 def _long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -203,7 +211,20 @@ _PIC_ATTRS = "select o.o_custkey % 40 as file_id, o.o_orderkey as rec_no, 300 +
 
 @query("object_pictures", f"select a.file_id, a.rec_no, tag - 300 as k, entry_no from ({_PIC_ATTRS}) a join ({_PIC_OBJECTS}) o on a.rec_no = o.rec_no and a.file_id = o.file_id where tag - 300 <= n_pictures")
 def object_pictures(spark, sf):
-    return pages.object_pictures(frame(spark, sf, _PIC_OBJECTS), frame(spark, sf, _PIC_ATTRS)).select("file_id", "rec_no", F.col("k").cast("long").alias("k"), "entry_no")
+    return _object_pictures(spark, sf, _PIC_OBJECTS, _PIC_ATTRS)
+
+
+def _object_pictures(spark, sf, objects, attrs):
+    return pages.object_pictures(frame(spark, sf, objects), frame(spark, sf, attrs)).select("file_id", "rec_no", F.col("k").cast("long").alias("k"), "entry_no")
+
+
+#: Over all orders there are attributes of tag 300 too (part 0), which is before the first picture's.
+_PIC_OBJECTS_ALL, _PIC_ATTRS_ALL = _PIC_OBJECTS.replace(" where o_orderkey % 20 = 3", ""), _PIC_ATTRS.replace(" where o.o_orderkey % 20 = 3", "")
+
+
+@query("object_pictures_all", f"select a.file_id, a.rec_no, tag - 300 as k, entry_no from ({_PIC_ATTRS_ALL}) a join ({_PIC_OBJECTS_ALL}) o on a.rec_no = o.rec_no and a.file_id = o.file_id where tag - 300 between 1 and n_pictures")
+def object_pictures_all(spark, sf):
+    return _object_pictures(spark, sf, _PIC_OBJECTS_ALL, _PIC_ATTRS_ALL)
 
 
 @query("drawing_ref", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber % 2 = 1 then l_partkey end as entry_no from lineitem")

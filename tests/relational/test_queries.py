@@ -79,3 +79,18 @@ def test_files_are_written_scanned_and_edited(spark, tmp_path):
     assert spark.sql("select count(*) as n from landed where is_signed = false").first().n == 12
     log = landing.latest_versions(spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (1, 2, "b")], "k int, v int, x string"), "k", "v", ["x"])
     assert [tuple(r) for r in log.collect()] == [(1, 3, "c")]
+
+
+@pytest.mark.parametrize("name", ["edit_script_all", "sink_image_all", "add_picture_all", "add_binder_docs_all", "safe_read_all", "object_pictures_all"])
+def test_whole_queries_pass_the_bounds_of_the_others(spark, name, tmp_path):
+    for t in TABLES:
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.createDataFrame([(k, 1) for k in (1, 11, 601, 2011)], "p_partkey long, p_size int").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    key = "rec_no" if name == "object_pictures_all" else "n"
+    found = {r[0] for r in QUERIES[name](spark, str(tmp_path)).select(key).collect()}
+    if key == "n":
+        assert found == {1, 11, 601, 2011}
+    else:
+        assert {k % 20 for k in found} > {11}
+
+
