@@ -11,7 +11,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "roundtrip_text", "render_text", "page_text", "covered_chars", "trim_runs", "parent_of", "subtree_end", "page_objects", "named_attr", "rotate_page", "move_page", "undo_redo", "reachable_entries", "renumber", "garbage_entries",
-    "insert_pages_from", "search_text", "winding", "pdf_codes", "xor_check", "edit_script_all",
+    "insert_pages_from", "search_text", "winding", "pdf_codes_all", "xor_check", "edit_script_all",
 ]
 
 

@@ -66,9 +66,12 @@ def pdf_codes(chars: DataFrame, document: list[str]) -> DataFrame:
 
 
 def pdf_tounicode(codes: DataFrame, document: list[str], block: int = 100) -> DataFrame:
-    """Lines of the code map, sorted by character, in blocks."""
+    """Lines of the code map, sorted by character, in blocks; characters beyond U+FFFF as two UTF-16 units."""
     n = F.row_number().over(Window.partitionBy(*document).orderBy("ch")) - 1
-    line = F.format_string("<%04X> <%04X>", F.col("code"), F.ascii("ch"))
+    cp = F.ascii("ch")
+    over = cp - 0x10000
+    pair = F.format_string("%04X%04X", F.lit(0xD800) + F.shiftright(over, 10), F.lit(0xDC00) + over.bitwiseAND(F.lit(0x3FF)))
+    line = F.format_string("<%04X> <%s>", F.col("code"), F.when(cp < 0x10000, F.format_string("%04X", cp)).otherwise(pair))
     part = codes.withColumn("n", n).withColumn("block_no", F.floor(F.col("n") / block)).withColumn("line", line)
     return part.groupBy(*document, "block_no").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"])).alias("bfchar"))
 

@@ -693,6 +693,24 @@ def pdf_tounicode(spark, sf):
     return save.pdf_tounicode(codes, ["doc_id"], 20).select("doc_id", "block_no", "bfchar")
 
 
+# the same over every character of the texts, beyond ASCII too
+
+_ALL_SPARK, _ALL_DUCK = _CHARS_SPARK.replace(" and ascii(ch) < 128", ""), _CHARS_DUCK.replace(" where ord(ch) < 128", "")
+_CODES_ALL = _CODES.replace(_CHARS_DUCK, _ALL_DUCK)
+_UNITS = "case when ord(ch) < 65536 then printf('%04X', ord(ch)) else printf('%04X%04X', 55296 + (ord(ch) - 65536) // 1024, 56320 + (ord(ch) - 65536) % 1024) end"
+
+
+@query("pdf_codes_all", f"select doc_id, ch, code from ({_CODES_ALL}) q")
+def pdf_codes_all(spark, sf):
+    return save.pdf_codes(frame(spark, sf, _ALL_SPARK), ["doc_id"]).select("doc_id", "ch", F.col("code").cast("long").alias("code"))
+
+
+@query("pdf_tounicode_all", f"select doc_id, cast(n // 20 as bigint) as block_no, string_agg(printf('<%04X> <', code) || {_UNITS} || '>', chr(10) order by n) as bfchar from (select *, row_number() over (partition by doc_id order by ord(ch)) - 1 as n from ({_CODES_ALL}) q) p group by 1, 2")
+def pdf_tounicode_all(spark, sf):
+    codes = save.pdf_codes(frame(spark, sf, _ALL_SPARK), ["doc_id"])
+    return save.pdf_tounicode(codes, ["doc_id"], 20).select("doc_id", "block_no", "bfchar")
+
+
 @query("pdf_positions", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x * 72.0 / 2540.0, 4) as px, round((29700 - y) * 72.0 / 2540.0, 4) as py from ({_BOX}) s")
 def pdf_positions(spark, sf):
     px, py = save.pdf_points(F.col("x"), F.col("y"), F.lit(29700))

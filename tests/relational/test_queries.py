@@ -94,3 +94,11 @@ def test_whole_queries_pass_the_bounds_of_the_others(spark, name, tmp_path):
         assert {k % 20 for k in found} > {11}
 
 
+def test_code_maps_hold_whole_texts(spark, tmp_path):
+    for t in TABLES:
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    spark.createDataFrame([(1, "aé😀aß\U00010000")], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    codes = {r.ch: r.code for r in QUERIES["pdf_codes_all"](spark, str(tmp_path)).collect()}
+    assert codes == {"a": 1, "é": 2, "😀": 3, "ß": 4, "\U00010000": 5}
+    (row,) = QUERIES["pdf_tounicode_all"](spark, str(tmp_path)).collect()
+    assert row.bfchar.split("\n") == ["<0001> <0061>", "<0004> <00DF>", "<0002> <00E9>", "<0005> <D800DC00>", "<0003> <D83DDE00>"]
