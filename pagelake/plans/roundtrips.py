@@ -315,7 +315,7 @@ def _broken(n: int):
 
 def _safe_read(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
     """Broken files among whole ones: error rows, not a failed job."""
-    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part where {where}(p_partkey % 3 <> 0 or p_partkey % 40 < 24)"))
+    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part{where}"))
     c = decode(_files(rows, "n", ["m"], _broken), "containers")
     whole = F.col("error_class").isNull()
     return c.select(F.col("path").cast("long").alias("n"), F.when(whole, "ok").when(F.col("path").cast("long") % 3 == 0, F.col("error_class")).otherwise("bad").alias("result"))
@@ -323,10 +323,11 @@ def _safe_read(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
 
 @query("safe_read", "select p_partkey as n, case when p_partkey % 3 = 0 then 'NotXdw' when p_partkey % 2 = 0 then 'ok' else 'bad' end as result from part where p_partkey <= 300 and (p_partkey % 3 <> 0 or p_partkey % 40 < 24)")
 def safe_read(spark, sf):
-    return _safe_read(spark, sf, "p_partkey <= 300 and ")
+    return _safe_read(spark, sf, " where p_partkey <= 300 and (p_partkey % 3 <> 0 or p_partkey % 40 < 24)")
 
 
-@query("safe_read_all", without("safe_read", "p_partkey <= 300 and "))
+#: Broken files of 24 bytes and more are long enough to be read into: their first element runs past the end.
+@query("safe_read_all", "select p_partkey as n, case when p_partkey % 3 = 0 and p_partkey % 40 < 24 then 'NotXdw' when p_partkey % 3 = 0 then 'Corrupt' when p_partkey % 2 = 0 then 'ok' else 'bad' end as result from part")
 def safe_read_all(spark, sf):
     return _safe_read(spark, sf)
 

@@ -102,3 +102,8 @@ def test_code_maps_hold_whole_texts(spark, tmp_path):
     assert codes == {"a": 1, "é": 2, "😀": 3, "ß": 4, "\U00010000": 5}
     (row,) = QUERIES["pdf_tounicode_all"](spark, str(tmp_path)).collect()
     assert row.bfchar.split("\n") == ["<0001> <0061>", "<0004> <00DF>", "<0002> <00E9>", "<0005> <D800DC00>", "<0003> <D83DDE00>"]
+
+
+def test_broken_files_of_24_bytes_and_more_are_read_into(spark):
+    found = {r.n: r.result for r in QUERIES["safe_read_all"](spark, SF).collect()}
+    assert found[3] == "NotXdw" and found[24] == found[39] == "Corrupt"
