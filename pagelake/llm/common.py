@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(sc, "_pagelake_dir", None)
         if folder is None:
             folder = sc._pagelake_dir = tempfile.mkdtemp(prefix="pagelake-shared-")
@@ -39,7 +41,31 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pagelake_path = path
+    _tables.append(out)
+    return out
+
+
+_tables: list[DataFrame] = []
+
+
+def tables_so_far() -> int:
+    """How many tables this driver has written; a mark for ``free_since``."""
+    return len(_tables)
+
+
+def free_since(mark: int, *but: DataFrame) -> None:
+    """Remove the tables written after the mark, ``but`` those named."""
+    free(*(t for t in _tables[mark:] if all(t is not b for b in but)))
+    _tables[mark:] = but
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._pagelake_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +114,12 @@ def chunks(items: Iterable, size: int) -> Iterator[list]:
         yield part
 
 
+def parts_by_size(texts: pa.Array) -> Iterator[list]:
+    """The texts as lists of about two million bytes, a longer one alone."""
+    for b in by_size(pa.RecordBatch.from_arrays([texts], ["t"]), 0):
+        yield b.column(0).to_pylist()
+
+
 def by_size(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``limit`` bytes together, a longer one alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

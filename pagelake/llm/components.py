@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import cut
+from pagelake.llm.common import cut, free
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,10 +25,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").filter("v > m").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         large = cut(large)
+        free(now)
         small = large.groupBy("x").agg(F.min("y").alias("m"))
         joined = large.join(small, "x")
         new = joined.filter("y > m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(small.select("x", F.col("m").alias("y"))).distinct()
         now = cut(new)
+        free(large)
         row = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("x", "y")).alias("h")).first()
         if mark == (row["n"], row["h"]):
             break

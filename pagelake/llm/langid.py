@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, give_back, kept, ship, table, with_text
+from pagelake.llm.common import by_size, give_back, kept, parts_by_size, ship, table, with_text
 
 DIM = 1024
 SLOTS = 1024
@@ -61,7 +61,7 @@ class Space:
         base = (rng.integers(0, 2, (SLOTS, dim), dtype=np.int8) * 2 - 1).astype(np.int8)
         self.dim, self.r0, self.r1, self.r2 = dim, base, np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
         self.codes, self.order = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, dim), np.int8)
+        self.vectors = np.empty((KNOWN, dim), np.int8)  # the system gives its memory as rows are filled
 
     def _bind(self, codes: np.ndarray) -> np.ndarray:
         return self.r2[codes >> 20] * self.r1[codes >> 10 & 1023] * self.r0[codes & 1023]
@@ -75,10 +75,10 @@ class Space:
                     return self.order[at]
             new = np.setdiff1d(codes, self.codes)
             if len(self.codes) + len(new) > KNOWN:
-                new, self.codes, self.order, self.vectors = np.unique(codes), self.codes[:0], self.order[:0], self.vectors[:0]
-            all_codes = np.concatenate([self.codes, new])
-            numbers = np.concatenate([self.order, np.arange(len(self.vectors), len(self.vectors) + len(new))])
-            self.vectors = np.concatenate([self.vectors, self._bind(new)])
+                new, self.codes, self.order = np.unique(codes), self.codes[:0], self.order[:0]
+            all_codes, n = np.concatenate([self.codes, new]), len(self.codes)
+            numbers = np.concatenate([self.order, np.arange(n, n + len(new))])
+            self.vectors[n : n + len(new)] = self._bind(new)
             by = np.argsort(all_codes, kind="stable")
             self.codes, self.order = all_codes[by], numbers[by]
         raise AssertionError("unreachable")
@@ -223,19 +223,16 @@ def learn_least(labelled: DataFrame, profiles: Profiles, per_language: int = 300
     return least
 
 
-def like(df: DataFrame, profiles: Profiles, least: np.ndarray, keep: list[str], text: str = "text", name: str = "like") -> DataFrame:
-    """The columns ``keep`` with whether the text is like a learned language."""
-    ship(df.sparkSession)
-    sent, at = with_text(df, keep, text)
+def like(profiles: Profiles, least: np.ndarray, text: str = "text") -> Column:
+    """Whether the text is like a learned language. Only the text goes to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_size(whole, at):
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(profiles.like(b.column(at).to_pylist(), least), pa.bool_())], [*keep, name])
+    @F.arrow_udf("boolean")
+    def alike(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([x for part in parts_by_size(b) for x in profiles.like(part, least)], pa.bool_())
         give_back()
 
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), f"`{name}` boolean"])
-    return sent.mapInArrow(run, schema)
+    return alike(F.col(f"`{text}`"))
 
 
 def predict(df: DataFrame, profiles: Profiles, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

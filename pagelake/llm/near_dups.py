@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, cut, give_back, kept, ship, table
+from pagelake.llm.common import by_size, cut, free, give_back, kept, ship, table
 from pagelake.llm.components import components
 from pagelake.llm.simhash import _mix, _powers
 
@@ -100,8 +100,8 @@ def _bits_of(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
     return out.ravel()
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id, s (the set, 8 bytes a value) of the documents whose id is in ``ids``.
+def whole_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text", key: str = "doc_id", as_array: bool = False) -> DataFrame:
+    """id, s (the set, 8 bytes a value, or an array) of the documents whose id is in ``ids``.
 
     A bitmap of a fixed size skips most others before their words are looked at; the join is exact.
     """
@@ -116,12 +116,14 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text",
             at = b.column(1).to_numpy(zero_copy_only=False)
             some = pa.array(np.flatnonzero(bitmap[at >> 3] >> (at & 7) & 1))
             if len(some):
-                sets = [shingle_set(t, words).tobytes() for t in b.column(2).take(some).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.array(sets, pa.binary())], ["id", "s"])
+                for part in by_size(pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(2).take(some)], ["id", "t"]), 1):
+                    sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                    column = pa.array(sets, pa.list_(pa.int64())) if as_array else pa.array([s.tobytes() for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), column], ["id", "s"])
         give_back()
 
     some = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text)
-    some = some.select("id", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at"), text).mapInArrow(run, "id long, s binary")
+    some = some.select("id", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at"), text).mapInArrow(run, "id long, s " + ("array<long>" if as_array else "binary"))
     return some.join(ids, "id", "left_semi")
 
 
@@ -159,22 +161,17 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _prefix_rows(docs: DataFrame, heavy: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
     """v, rep, n, pos: the heavy classes under the rare end of their sets."""
-    sets = whole_sets(docs, heavy.select(F.col("rep").alias("id")), words, text, key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, s in enumerate(b.column(1)):
-                v = np.frombuffer(s.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.repeat(b.column(0)[i].as_py(), len(v))), pa.array(np.repeat(len(v), len(v)))], ["v", "rep", "n"])
-
-    rows = cut(sets.mapInArrow(run, "v long, rep long, n long"))
+    sets = whole_sets(docs, heavy.select(F.col("rep").alias("id")), words, text, key, as_array=True)
+    rows = cut(sets.select(F.explode("s").alias("v"), F.col("id").alias("rep"), F.size("s").cast("long").alias("n")))
     often = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = rows.join(often, "v")
     by = Window.partitionBy("rep")
     shared = shared.withColumn("r", F.row_number().over(by.orderBy("c", "v"))).withColumn("m", F.count(F.lit(1)).over(by))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     # shingles of no other class come first: n - m of them
-    return cut(shared.withColumn("pos", F.col("n") - F.col("m") + F.col("r")).filter(F.col("pos") <= first).select("v", "rep", "n", "pos"))
+    found = cut(shared.withColumn("pos", F.col("n") - F.col("m") + F.col("r")).filter(F.col("pos") <= first).select("v", "rep", "n", "pos"))
+    free(rows)
+    return found
 
 
 def _places_fit(percent: int) -> Column:
@@ -209,10 +206,14 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         long_lists = cut(rows.filter(F.col("c") > HOT).select("v", "rep", "n", "pos", "hub"))
         candidates.append(long_lists.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     pairs = cut(_estimated(reduce(DataFrame.unionByName, candidates).distinct(), classes))
+    free(shared, heavy)
 
     def confirmed(some: DataFrame) -> DataFrame:
         ids = cut(some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id"))).distinct())
-        return cut(confirm(some.select("a", "b"), cut(whole_sets(docs, ids, words, text, key)), percent))
+        sets = cut(whole_sets(docs, ids, words, text, key))
+        out = cut(confirm(some.select("a", "b"), sets, percent))
+        free(ids, sets)
+        return out
 
     best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"))
     links = confirmed(best)

@@ -23,10 +23,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import by_size, give_back, kept, ship, table, with_text
+from pagelake.llm.common import by_size, give_back, kept, parts_by_size, ship, table, with_text
 from pagelake.llm.langid import fold
 from pagelake.llm.simhash import _mix, word_hashes
 
@@ -217,6 +217,22 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", name
     return _with_features(df, keep, lambda x: pa.array(model.score(x), pa.float64()), name, "double", text)
 
 
+def scored(model: Model, text: str = "text") -> Column:
+    """The score of a text. Only the text goes to Python."""
+
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from pagelake.llm.quality import FEATURES, features
+
+        kept(("quality",), dict)
+        for b in batches:
+            x = [features(t) for part in parts_by_size(b) for t in part]
+            yield pa.array(model.score(np.array(x, float).reshape(-1, len(FEATURES))), pa.float64())
+        give_back()
+
+    return score_of(F.col(f"`{text}`"))
+
+
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
     return learn(docs, labels.filter(fold("doc_id", 3) != 1))
 
