@@ -45,6 +45,15 @@ _SIDE = frozenset(
     "gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup popular promo promotion promoted recommended related "
     "replies reply respond rss share sharing shoutbox sidebar signin signup skip skyscraper social sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar trending widget widgets alert".split()
 )
+#: Those of the words above that also hide where nothing else is left of a page.
+_FIRM = frozenset(
+    "ad ads adv advert advertisement advertising adsense breadcrumb breadcrumbs captcha comment comments cookie cookies consent disqus foot footer gdpr login menu menubar nav navbar navigation newsletter "
+    "outbrain pager pagination paywall popup replies reply respond rss share sharing shoutbox sidebar signin signup skip social sponsor sponsored subscribe subscription taboola".split()
+)
+#: Words that an article's own heading carries.
+_TITLE = frozenset("header masthead banner".split())
+#: Class names that begin so name a topic, which can be any word.
+_TOPIC = re.compile(r"(?:^|\s)(?:tag|category|cat|topic|author|format)-\S*", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form", "toolbar"}
 _GOOD = frozenset("article body content entry hentry main page post story text blog".split())
 _START = {"div": 5, "article": 10, "main": 8, "section": 3, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3}
@@ -58,6 +67,8 @@ class Tree:
     def __init__(self, page: str):
         self.tag, self.parent, self.last = ["#root"], [-1], [0]
         self.side, self.good, self.links = [False], [False], [0]
+        self.words: list[frozenset] = [frozenset()]  # of _SIDE
+        self._names: dict[str, int] = {}  # open elements by name
         self.blocks_in = [False]
         self.pieces: list[tuple[int, int, bool, str]] = []  # node, segment, in a link, text
         self._segment, self._in_link = 0, 0
@@ -74,13 +85,14 @@ class Tree:
         while len(self._stack) > depth:
             n = self._stack.pop()
             self.last[n] = len(self.tag) - 1
+            self._names[self.tag[n]] -= 1
             if self.tag[n] == "a":
                 self._in_link -= 1
             if self.tag[n] in _BLOCK:
                 self._segment += 1
 
     def _open(self, name: str, token: str) -> None:
-        if name in _BLOCK:
+        if name in _BLOCK and self._names.get("p"):
             for d in range(len(self._stack) - 1, 0, -1):
                 t = self.tag[self._stack[d]]
                 if t == "p":
@@ -88,7 +100,7 @@ class Tree:
                     break
                 if t in _BLOCK or t in ("td", "th", "button"):
                     break
-        if name in _CLOSES:
+        if name in _CLOSES and any(map(self._names.get, _CLOSES[name][0])):
             ends, border = _CLOSES[name]
             for d in range(len(self._stack) - 1, 0, -1):
                 t = self.tag[self._stack[d]]
@@ -104,13 +116,14 @@ class Tree:
                     self._close_to(d)
                     break
         n, up = len(self.tag), self._stack[-1]
-        side, good = name in _NEVER, False
+        side, good, words = name in _NEVER, False, frozenset()
         if " " in token or "\n" in token or "\t" in token:
-            side, good = self._judge(name, token, side)
+            side, good, words = self._judge(name, token, side)
         self.tag.append(name)
         self.parent.append(up)
         self.last.append(n)
         self.side.append(side)
+        self.words.append(words)
         self.good.append(good)
         self.links.append(0)
         self.blocks_in.append(False)
@@ -122,20 +135,24 @@ class Tree:
         if name in _VOID:
             return
         self._stack.append(n)
+        self._names[name] = self._names.get(name, 0) + 1
         if name == "a":
             self._in_link += 1
             self.links[n] = 1
 
     @staticmethod
-    def _judge(name: str, token: str, side: bool) -> tuple[bool, bool]:
+    def _judge(name: str, token: str, side: bool) -> tuple[bool, bool, frozenset]:
         attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(token[1 + len(name) :])}
         if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-            return True, False
+            return True, False, frozenset()
         if name in ("html", "body", "main"):
-            return side, True
-        words = {w.lower() for w in _TOKENS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
+            return side, True, frozenset()
+        named = attrs.get("class", "")
+        if "-" in named:
+            named = _TOPIC.sub(" ", named)
+        words = {w.lower() for w in _TOKENS.findall(named + " " + attrs.get("id", ""))}
         good = bool(words & _GOOD) or attrs.get("itemprop", "").lower() == "articlebody" or attrs.get("role", "").lower() in ("main", "article")
-        return side or bool(words & _SIDE) or attrs.get("role", "").lower() in _ROLES, good
+        return side or attrs.get("role", "").lower() in _ROLES, good, words & _SIDE
 
     def _read(self, page: str) -> None:
         at, end = 0, len(page)
@@ -154,10 +171,11 @@ class Tree:
                 if name == "br":
                     self._text(" ")
                     continue
-                for d in range(len(self._stack) - 1, 0, -1):
-                    if self.tag[self._stack[d]] == name:
-                        self._close_to(d)
-                        break
+                if self._names.get(name):
+                    for d in range(len(self._stack) - 1, 0, -1):
+                        if self.tag[self._stack[d]] == name:
+                            self._close_to(d)
+                            break
                 continue
             if name == "br":
                 self._text(" ")
@@ -178,19 +196,39 @@ def _length(text: str) -> int:
     return len(" ".join(text.split()))
 
 
+#: A main text of fewer characters is held against the one that class words hide, which must be so many times as long.
+SHORT, TIMES = 200, 4
+
+
 def extract(page: str | None) -> str:
-    """The main text: blocks joined by an empty line."""
+    """The main text: blocks joined by an empty line.
+
+    Elements are left out by the words of their class and id. Where that leaves little, the page is scored
+    again with only those left out whose words are unmistakable, and the longer text by far counts.
+    """
     if not page:
         return ""
     t = Tree(page)
+    found = _main_text(t, _SIDE)
+    if len(found) < SHORT and any(w and not w & _FIRM for w in t.words):
+        more = _main_text(t, _FIRM)
+        if len(more) > TIMES * len(found):
+            return more
+    return found
+
+
+def _main_text(t: Tree, hide: frozenset) -> str:
     n = len(t.tag)
-    side = t.side
+    side = t.side[:]
     in_article = [False] * n
     for i in range(1, n):
         up = t.parent[i]
         in_article[i] = in_article[up] or t.tag[i] in ("article", "main")
         if t.tag[i] == "header" and not in_article[up]:
             side[i] = True
+        words = t.words[i] & hide
+        if words and not (in_article[up] and words <= _TITLE):
+            side[i] = True
         side[i] = side[i] or side[up]
     # text by segment: owner, characters, characters in links, commas
     segments: dict[int, list] = {}

@@ -36,6 +36,8 @@ from pagelake.llm.common import by_size, give_back, kept, parts_by_size, ship, t
 
 DIM = 1024
 SLOTS = 1024
+#: What a unit vector's length is learned in: sums of eight million stay whole.
+UNIT = float(1 << 40)
 #: Trigram vectors that a worker keeps, and that it adds up at once.
 KNOWN, AT_ONCE = 32_768, 2048
 #: Standard deviations of a chance cosine that learned texts must be above, stretches that a length needs, lengths.
@@ -163,7 +165,7 @@ def _chosen(known: DataFrame, per_language: int, text: str, lang: str, key: str,
         return None
     draw = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1_000_000))
     rate = F.create_map(*[x for r in counts for x in (F.lit(r[lang]), F.lit(min(1_000_000, -(-per_language * 1_000_000 // r["n"]))))])
-    return known.filter(draw < rate[F.col(lang)]).select(lang, text).coalesce(16)
+    return known.filter(draw < rate[F.col(lang)]).select(lang, text)
 
 
 def learn(labelled: DataFrame, per_language: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id", most_languages: int = 1000, dim: int = DIM) -> Profiles:
@@ -177,19 +179,19 @@ def learn(labelled: DataFrame, per_language: int = 3000, text: str = "text", lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.langid import space, trigrams
 
-        sp, sums = space(dim), {}
+        sp, sums = space(dim), {}  # of each language, in units small enough and whole, so that the order of sums does not matter
         for b in batches:
             names = b.column(0).to_pylist()
             for i, codes, counts in trigrams(b.column(1).to_pylist()):
                 v = sp.vector(codes, counts).astype(np.float64)
-                total = sums.setdefault(names[i], np.zeros(dim))
-                total += v / max(np.linalg.norm(v), 1e-12)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "sums"])
+                total = sums.setdefault(names[i], np.zeros(dim, np.int64))
+                total += np.rint(v * (UNIT / max(np.linalg.norm(v), 1e-12))).astype(np.int64)
+        for name, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * dim, pa.string()), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "at", "x"])
 
     total: dict[str, np.ndarray] = {}
-    for r in sorted(chosen.mapInArrow(run, "lang string, sums binary").collect(), key=lambda r: (r["lang"], bytes(r["sums"]))):
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(bytes(r["sums"]))
+    for r in chosen.mapInArrow(run, "lang string, at int, x long").groupBy("lang", "at").agg(F.sum("x").alias("x")).collect():
+        total.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["x"]
     names = tuple(sorted(total))
     rows = np.array([total[x] / max(np.linalg.norm(total[x]), 1e-12) for x in names], np.float32).reshape(len(names), dim)
     return Profiles(names, rows)
@@ -230,7 +232,7 @@ def like(profiles: Profiles, least: np.ndarray, text: str = "text") -> Column:
     def alike(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             yield pa.array([x for part in parts_by_size(b) for x in profiles.like(part, least)], pa.bool_())
-        give_back()
+            give_back()
 
     return alike(F.col(f"`{text}`"))
 

@@ -14,6 +14,7 @@ empty result; equal rows are pieces of their own; a null key is a key; other col
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -36,8 +37,8 @@ _BEYOND = re.compile("[^\x00-\xff]")
 _MARKED = re.compile("(?<=[a-zß-öø-ÿ])([.,;:])(?=[ \n])")
 #: Words that a worker keeps: about 200 bytes each, twice over.
 WORDS = 250_000
-#: Characters of one text that are split into words at once.
-LONG = 4_000_000
+#: Bytes of texts that are encoded at once; characters of one text that are split into words at once.
+AT_ONCE, LONG = 300_000, 1_000_000
 
 
 def _words(text: str) -> list[str]:
@@ -58,6 +59,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, cache: int = WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,7 +155,7 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool
 
         enc, close = encoder(path, cache), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for b in by_size(whole, 1):
+            for b in by_size(whole, 1, AT_ONCE):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, got in enumerate(enc.encode([t or "" for t in b.column(1).to_pylist()])):
                     got += close
@@ -168,7 +170,7 @@ def pieces(df: DataFrame, path: str, size: int, end_id: int = 0, with_ids: bool
                             ids.append(np.frombuffer(part, "<u4").astype(np.int64))
                 cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int64()))] * with_ids, [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-        give_back()
+            give_back()
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return df.select(key, text).mapInArrow(run, schema)

@@ -228,7 +228,7 @@ def scored(model: Model, text: str = "text") -> Column:
         for b in batches:
             x = [features(t) for part in parts_by_size(b) for t in part]
             yield pa.array(model.score(np.array(x, float).reshape(-1, len(FEATURES))), pa.float64())
-        give_back()
+            give_back()
 
     return score_of(F.col(f"`{text}`"))
 

@@ -1,10 +1,11 @@
 """Hierarchical weighted hash tree: rows descend region, rack and shard by weighted hash draws.
 
-Each node's children hold weights; a row draws ln(u)/weight for each child, u a hash of its key, the
-child and a seed, and takes the largest. A child's draw depends on that child alone, so when a weight
-grows, rows move into that child only, and when it shrinks, out of it only: movement stays in the
-subtrees whose weights change. ``grow`` adds a shard in a region of its own, so that at every level
-only the new branch gains and rows move into the new shard alone.
+A row draws ln(u)/weight for a shard, u a hash of its key, the shard and a seed. The draw of a rack or
+region is the largest of the shards below it: that is distributed as one draw of their whole weight, and
+it depends on that subtree alone. At each level the row takes the child of the largest draw. So when a
+weight grows, rows move into that shard only, and when it shrinks, out of it only; movement stays in the
+subtrees whose weights change. ``tree(n + 1)`` is ``grow(tree(n))``, and one more shard takes rows only
+into itself.
 
 Defined cases: a null key is a key like any other; equal keys get one shard; an empty table gives an
 empty result; other columns of the table are neither read nor returned.
@@ -23,7 +24,7 @@ from pagelake.llm.common import gapless_rank, small_key_counts, table
 
 @dataclass(frozen=True)
 class Node:
-    """A region, rack or shard. ``key`` names it in the draws; shards carry their number."""
+    """A region, rack or shard. ``key`` names a shard in the draws; shards carry their number."""
 
     key: int
     weight: float = 0.0
@@ -37,16 +38,21 @@ class Node:
 
 def tree(shards: int, per_rack: int = 2, racks_per_region: int = 2, weight: float = 1.0) -> Node:
     """Shards 0..n-1 of equal weight, filled rack by rack and region by region."""
-    leaves = [Node(3_000_000 + i, weight, (), i) for i in range(shards)]
+    return _filled([Node(3_000_000 + i, weight, (), i) for i in range(shards)], per_rack, racks_per_region)
+
+
+def _filled(leaves: list[Node], per_rack: int, racks_per_region: int) -> Node:
+    shards = len(leaves)
     racks = [Node(2_000_000 + i, children=tuple(leaves[i : i + per_rack])) for i in range(0, shards, per_rack)]
     regions = [Node(1_000_000 + i, children=tuple(racks[i : i + racks_per_region])) for i in range(0, len(racks), racks_per_region)]
     return Node(0, children=tuple(regions))
 
 
-def grow(root: Node, weight: float = 1.0) -> Node:
-    """One more shard, as a region of its own: rows move only into it."""
-    n = 1 + max(leaf.shard for leaf in leaves_of(root))
-    return Node(root.key, children=(*root.children, Node(1_500_000 + n, children=(Node(2_500_000 + n, children=(Node(3_000_000 + n, weight, (), n),)),))))
+def grow(root: Node, per_rack: int = 2, racks_per_region: int = 2, weight: float = 1.0) -> Node:
+    """One more shard, in the next free place: rows move only into it."""
+    leaves = sorted(leaves_of(root), key=lambda x: x.shard)
+    n = 1 + leaves[-1].shard
+    return _filled([*leaves, Node(3_000_000 + n, weight, (), n)], per_rack, racks_per_region)
 
 
 def leaves_of(node: Node) -> list[Node]:
@@ -54,11 +60,14 @@ def leaves_of(node: Node) -> list[Node]:
 
 
 def place(key: Column, root: Node, seed: int = 0) -> Column:
-    """The shard of ``key``. The expression has one draw for each child of the nodes on the way."""
+    """The shard of ``key``. A level costs one draw for each shard below the node reached."""
 
     def draw(child: Node) -> Column:
+        if child.shard is None:
+            below = [draw(x) for x in child.children if x.total > 0]
+            return F.greatest(*below) if len(below) > 1 else below[0]
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(child.key), key), 11) + F.lit(0.5)) * F.lit(2.0**-53)
-        return F.log(u) / F.lit(float(child.total))
+        return F.log(u) / F.lit(float(child.weight))
 
     def descend(node: Node) -> Column:
         if node.shard is not None:

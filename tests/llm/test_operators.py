@@ -31,6 +31,19 @@ def test_a_new_shard_takes_rows_only_into_itself(spark):
         assert counts.min() > 0.7 * 4000 / n
 
 
+def test_one_more_shard_is_the_tree_of_one_more(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for n in range(1, 20):
+        assert sharding.grow(sharding.tree(n)) == sharding.tree(n + 1)
+    rows = spark.range(2000).select(*(sharding.place(F.col("id"), sharding.tree(n)).alias(f"n{n}") for n in (1, 2, 5, 8, 9, 10, 16, 17, 20))).collect()
+    for a, b in ((1, 2), (8, 9), (9, 10), (16, 17)):
+        assert all(r[f"n{a}"] == r[f"n{b}"] or r[f"n{b}"] == b - 1 for r in rows)
+    spark.range(500).selectExpr("id as doc_id", "'x' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    grown = {r.doc_id: r.grown_shard for r in sharding.op1_hash_tree(spark, str(tmp_path)).collect()}
+    assert grown == {r.doc_id: r.shard for r in sharding.op1_hash_tree(spark, str(tmp_path), shards=9).collect()}
+
+
 def test_a_heavier_rack_only_gains(spark):
     from pyspark.sql import functions as F
 
@@ -48,6 +61,26 @@ def test_a_heavier_rack_only_gains(spark):
 # fingerprints
 
 
+def test_edited_texts_and_likeness_to_the_next_document(spark, tmp_path):
+    import hashlib
+
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    r = random.Random(8)
+    texts = [None, "", "é", "日本語 テキスト 🙂 end"] + [" ".join(r.choices(words, k=r.randint(1, 60))) for _ in range(30)]
+    ids = r.sample(range(-50, 900), len(texts))
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in simhash.op2_simhash(spark, str(tmp_path)).collect()}
+    rows = [(k, t or "") for k, t in sorted(zip(ids, texts))]
+    assert len(got) == len(rows)
+    for (k, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        prints = [simhash.fingerprint(x).tobytes().hex() for x in (t, new, after)]
+        like = [1 - _hamming(prints[0], x) / 256 for x in prints[1:]]
+        x = got[k]
+        assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint, x.near_edited, x.near_next) == (*prints[:2], *like)
+
+
 def _hamming(a, b):
     return bin(int(a, 16) ^ int(b, 16)).count("1")
 
@@ -392,3 +425,58 @@ def test_streamed_pieces_equal_the_library(spark):
     made = pc.encode(df, path, with_ids=True)
     assert all(x.round_trip and x.n_ids == len(x.ids) for x in made.collect())
     assert {x.doc_id: x.text for x in pc.decode(made, path).collect()} == {k: sp.decode(sp.encode(t)) for k, t in enumerate(texts[:40])}
+
+
+# pages whose class names mislead
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<nav>Home About</nav><article class="tag-news category-popular"><p>Some words of the article, for long enough.</p></article>', "Some words of the article, for long enough."),
+        ('<div class="widget-area content"><p>Some words of the only text, which are here.</p></div>', "Some words of the only text, which are here."),
+        ('<article><header class="post-header"><h1>Title</h1></header><p>Some words, here, for long enough, of it.</p></article><div class="comments"><p>A comment, long, and, more, and, more</p></div>', "Title\n\nSome words, here, for long enough, of it."),
+        ('<nav>a b c</nav><div class="comments"><p>only a comment here, of some length, yes</p></div>', ""),
+        ("<p>one</i></b></div>two</span> words of text, which are enough here</p>", "onetwo words of text, which are enough here"),
+    ],
+)
+def test_class_words_do_not_hide_the_article(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    html_text.extract("<b>" * 4000 + "</i>" * 20_000 + "text")
+    assert time.perf_counter() - start < 2
+
+
+# learned on the given tables
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scored = [(r.score, labels[r.doc_id]) for r in quality.op8_boosted_gam(spark, sf).collect() if r.held_out and labels.get(r.doc_id) in (0, 1)]
+    assert len(scored) > 100 and np.mean([(s >= 0.5) == (y == 1) for s, y in scored]) >= 0.9
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    found = [(r.lang_pred, langs[r.doc_id]) for r in langid.op6_hyperdimensional(spark, sf).collect() if r.held_out and langs[r.doc_id]]
+    assert len(found) > 100 and np.mean([a == b for a, b in found]) >= 0.95
+
+
+def test_probes_hold_for_rows_that_the_router_has_not_seen(spark):
+    """More rows than the sample: recall against brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 6000)] + 0.7 * rng.normal(size=(6000, 16))
+    rows = nearest.usable(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>"), "v", "vec_id")
+    got = defaultdict(set)
+    for r in nearest.search(rows, rows.filter("vec_id % 50 = 0"), parts=12, sample=1500).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits.append(len(set(np.argsort(-s)[:5].tolist()) & got[q]) / 5)
+    assert np.mean(hits) >= 0.9
