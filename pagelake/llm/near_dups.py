@@ -9,12 +9,14 @@
    also take part with their whole sets, as a prefix join: shingles ordered from rare to frequent
    among them, each class listed under its first |set| - ceil(s |set|) + 1 shingles, of which two
    similar sets share one at least; the place in that order bounds the overlap and drops pairs early.
-   A list longer than ``hot`` first gives a star around its smallest class.
+   A list longer than ``hot`` first gives a star around one class, drawn by a hash of list and class, so
+   that a class meets another hub in each of its lists.
 4. The union sketch of a pair (the k smallest of both sketches) estimates the similarity; pairs well
    below are dropped. The bound is so low that a similar pair fails it less than once in a million.
-5. Exact sets decide. First each class is confirmed with its best candidate and the stars, and
-   components are formed; then every candidate pair that is still in two components is confirmed,
-   the rest of the long lists included. So a group of any size costs about its size, and no link
+5. Exact sets decide. First each class is confirmed with its best candidate, and components are formed;
+   then every candidate pair that is still in two components is confirmed. Where long lists still have many
+   pairs in two components, their classes beyond a list's largest component are tried against a few of
+   that one, in rounds; at last all pairs of the long lists still in two components are confirmed. So a group of any size costs about its size, and no link
    between components is missed.
 
 Defined cases: null or empty texts, and those without words, have the empty set and link with
@@ -45,6 +47,9 @@ HOT = 32
 LEAST = 0.35
 #: Of a sketch's values, the share of hot ones above which a class takes part with its whole set.
 HEAVY = 0.38
+#: Hubs that a class of a long list tries in a round, rounds at most (they end when one does not halve the pairs), and
+#: pairs a row of a list that need no round.
+TRIES, ROUNDS, FEW = 3, 4, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,12 +204,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     long_lists = None
     if heavy.limit(1).count():
         rows = _prefix_rows(docs, heavy, words, percent, text, key)
-        often = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("hub")).filter("c > 1")
+        often = rows.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min_by("rep", F.struct(F.xxhash64("rep", "v"), "rep")).alias("hub")).filter("c > 1")
         rows = rows.join(often, "v")
         a, b = (rows.filter(F.col("c") <= HOT).select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
         candidates.append(a.join(b, "v").filter("a < b").filter(_sizes_fit(F.col("na"), F.col("nb"), percent) & _places_fit(percent)).select("a", "b"))
         long_lists = cut(rows.filter(F.col("c") > HOT).select("v", "rep", "n", "pos", "hub"))
-        candidates.append(long_lists.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        candidates.append(long_lists.filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
     pairs = cut(_estimated(reduce(DataFrame.unionByName, candidates).distinct(), classes))
     free(shared, heavy)
 
@@ -219,22 +224,46 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     links = confirmed(best)
     roots = components(links)
     root = lambda df, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-    apart = root(root(pairs.join(best, ["a", "b"], "left_anti"), "a"), "b").filter("ra <> rb").select("a", "b")
-    if long_lists is not None:
-        apart = apart.unionByName(_across(root(long_lists.withColumnRenamed("rep", "x").drop("hub"), "x"), classes, percent)).distinct()
-    apart = cut(apart)
+    apart = cut(root(root(pairs.join(best, ["a", "b"], "left_anti"), "a"), "b").filter("ra <> rb").select("a", "b"))
     if apart.limit(1).count():
-        roots = components(links.unionByName(confirmed(apart)))
+        links = links.unionByName(confirmed(apart))
+        roots = components(links)
+    if long_lists is not None:
+        rows = long_lists.withColumnRenamed("rep", "x").drop("hub")
+        before = math.inf
+        for k in range(ROUNDS + 1):
+            lists = cut(_with_main(root(rows, "x")))
+            size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rx") != F.col("main")).alias("o")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("o")).alias("pairs")).first()
+            now = size["pairs"] or 0
+            if k == ROUNDS or now <= FEW * (size["rows"] or 0) or now > before / 2:
+                break
+            before = now
+            links = links.unionByName(confirmed(cut(_estimated(_tries(lists, k), classes))))
+            roots = components(links)
+        apart = cut(_across(lists, classes, percent))
+        if apart.limit(1).count():
+            roots = components(links.unionByName(confirmed(apart)))
     member = seen.select("doc_id", "digest", "n").join(classes.select("digest", "rep"), "digest", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that are in two components: all but the largest component of a list against the others."""
+def _with_main(rows: DataFrame) -> DataFrame:
+    """Rows of the lists of more than one component, with the list's largest one."""
     counts = rows.groupBy("v", "rx").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("v").agg(F.max_by("rx", F.struct("c", -F.col("rx"))).alias("main"), F.count(F.lit(1)).alias("of")).filter("of > 1")
-    rows = rows.join(main, "v")
+    return rows.join(main.drop("of"), "v")
+
+
+def _tries(rows: DataFrame, k: int) -> DataFrame:
+    """The rows of a list beyond its main component, each with TRIES rows of that one."""
+    drawn = [F.min_by("x", F.struct(F.xxhash64(F.lit(k * TRIES + j + 1), "x", "v"), "x")) for j in range(TRIES)]
+    hubs = rows.filter("rx = main").groupBy("v").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("v", F.explode("hubs").alias("hub"))
+    return rows.filter("rx <> main").join(hubs, "v").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists (with their main component) that are in two components: all but the main one against the others."""
     a = rows.filter("rx <> main").select("v", F.col("x").alias("a"), F.col("rx").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = rows.select("v", F.col("x").alias("b"), F.col("rx").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), (F.col("rx") == F.col("main")).alias("in_main"))
     met = a.join(b, "v").filter(F.col("ra") != F.col("rb")).filter(F.col("in_main") | (F.col("a") < F.col("b"))).filter(_sizes_fit(F.col("na"), F.col("nb"), percent) & _places_fit(percent))
