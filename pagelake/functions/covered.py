@@ -71,16 +71,23 @@ def in_quad(quad: list, x: float, y: float) -> bool:
     return all(s > 1e-3 for s in sides) or all(s < -1e-3 for s in sides)
 
 
+def places(item: dict) -> list[float]:
+    """Where each character starts on its baseline; an em for each character where the item does not say."""
+    xs = item["xs"][: len(item["text"])]
+    return [*xs, *(k * item["size"] for k in range(len(xs), len(item["text"])))]
+
+
 def char_boxes(item: dict) -> list[list[tuple[float, float]]]:
     """Each character's box: inset by 15 % of its advance, 0.7 em high, on the turned baseline."""
     a, size, out = -math.radians(item["angle"]), item["size"], []
     ux, uy = math.cos(a), math.sin(a)
     vx, vy = uy, -ux  # up
-    xs, s = item["xs"], item["text"]
-    for k, c in enumerate(s):
-        x0 = xs[k] if k < len(xs) else 0.0
-        step = xs[k + 1] - x0 if k + 1 < len(xs) else size * (0.5 if half_width_drawn(c) else 1.0)
-        lo, hi = x0 + 0.15 * step, x0 + 0.85 * step
+    xs, wide = places(item), item.get("sx", 1.0) or 1.0
+    for k, c in enumerate(item["text"]):
+        step = xs[k + 1] - xs[k] if k + 1 < len(xs) else 0.0
+        if step <= 0:  # no advance to go by
+            step = size * (0.5 if half_width_drawn(c) else 1.0)
+        lo, hi = (xs[k] + 0.15 * step) * wide, (xs[k] + 0.85 * step) * wide
         base = lambda d, up: (item["x"] + ux * d + vx * up, item["y"] + uy * d + vy * up)
         out.append([base(lo, 0.0), base(hi, 0.0), base(hi, 0.7 * size), base(lo, 0.7 * size)])
     return out
@@ -104,13 +111,15 @@ def _covers_of(d: Display) -> list[dict]:
 
 def _covered(cover: dict, quad: list) -> bool:
     x0, y0, x1, y1 = cover["box"]
+    corners = quad
+    quad = [*corners, ((corners[0][0] + corners[2][0]) / 2, (corners[0][1] + corners[2][1]) / 2)]  # and the middle
     if any(not (x0 <= x <= x1 and y0 <= y <= y1) for x, y in quad):
         return False
     if not all(inside(cover["polygons"], cover["even_odd"], x, y) for x, y in quad):
         return False
     if any(not inside(c, False, x, y) for c in cover["clips"] for x, y in quad):
         return False
-    return not any(in_quad(quad, x, y) for group in (cover["polygons"], *cover["clips"]) for poly in group for x, y in poly)
+    return not any(in_quad(corners, x, y) for group in (cover["polygons"], *cover["clips"]) for poly in group for x, y in poly)
 
 
 def remove_covered(d: Display) -> None:
@@ -124,22 +133,21 @@ def remove_covered(d: Display) -> None:
         later = [c for c in covers[bisect_right(starts, i) :] if not (c["image"] and c["object"] is not None and c["object"] == it.get("object"))]
         gone = set()
         for k, quad in enumerate(char_boxes(it) if later and checks <= BUDGET else []):
-            for c in later:
-                checks += 1
-                if checks > BUDGET:
-                    break
-                if _covered(c, quad):
-                    gone.add(k)
-                    break
+            if checks > BUDGET:
+                break
+            checks += len(later)
+            if any(_covered(c, quad) for c in later):
+                gone.add(k)
         if not gone:
             kept.append(it)
             continue
         d.hidden_chars += sum(not it["text"][k].isspace() for k in gone)
         left = [k for k in range(len(it["text"])) if k not in gone]
-        if left and any(not it["text"][k].isspace() for k in left):
-            first = it["xs"][left[0]] if left[0] < len(it["xs"]) else 0.0
-            a = -math.radians(it["angle"])
-            kept.append(it | {"text": "".join(it["text"][k] for k in left), "xs": [it["xs"][k] - first for k in left if k < len(it["xs"])], "x": it["x"] + math.cos(a) * first, "y": it["y"] + math.sin(a) * first})
+        if left:
+            xs = places(it)
+            first, a = xs[left[0]], -math.radians(it["angle"])
+            along = first * (it.get("sx", 1.0) or 1.0)
+            kept.append(it | {"text": "".join(it["text"][k] for k in left), "xs": [xs[k] - first for k in left], "x": it["x"] + math.cos(a) * along, "y": it["y"] + math.sin(a) * along})
     d.items = kept
 
 

@@ -231,39 +231,37 @@ class Interpreter:
             setattr(self.s, kind, value)
 
     def text(self, x: float, y: float, s: str, steps: list[float] | None) -> None:
-        """Lay out one run: size from the font's height, baseline from the alignment, turned by the escapement."""
+        """Lay out one run: size from the font's height, the anchor moved along and across the turned baseline."""
         st = self.s
         if st.align & 1:
             x, y = st.at
-        height = st.font["height"]
-        cjk = st.font["charset"] in (128, 129, 134, 136)
+        if not s:
+            return
+        font, m = st.font, self.matrix()
+        height, face = font["height"], font["face"]
+        cjk = font["charset"] in (128, 129, 134, 136) or any(ord(c) > 0x2E80 for c in face)
         em = -height if height < 0 else height / (1.0 if cjk else 1.15) if height else 12.0
-        if steps is None:
-            steps = [tx.advance(c) * em for c in s]
-        total = sum(steps)
-        if st.align & 6 == 6:
-            x -= total / 2
-        elif st.align & 2:
-            x -= total
-        ascent = 0.88 if cjk else 0.9
-        if st.align & 24 == 0:
-            y += ascent * em
-        elif st.align & 24 == 8:
-            y -= (1 - ascent) * em
+        if steps is None or len(steps) != len(s):
+            steps = [(0.5 if tx.half_width_drawn(c) else 1.0) * em for c in s]
+        total, ascent = sum(steps), (0.88 if cjk else 0.9) * em
+        along = {2: -total, 6: -total / 2}.get(st.align & 6, 0.0)
+        down = {24: 0.0, 8: ascent - em}.get(st.align & 24, ascent)
+        # the escapement turns against the clock as seen, also where the y axis points up
+        turn, up = math.radians(font["escapement"] / 10), -1.0 if m[3] >= 0 else 1.0
+        ux, uy = math.cos(turn), up * math.sin(turn)
+        dx, dy = up * uy, -up * ux
         if st.align & 1:
-            st.at = (x + total, st.at[1])
+            st.at = (x + ux * total, y + uy * total)
         if not s.strip():
             return
-        m = self.matrix()
         limits.item()
-        px, py = apply(m, x, y)
+        px, py = apply(m, x + ux * along + dx * down, y + uy * along + dy * down)
         k, at, xs = math.hypot(m[0], m[1]), 0.0, []
         for d in steps:
             xs.append(f32(at * k))
             at += d
-        angle = st.font["escapement"] / 10 + math.degrees(math.atan2(-m[1], m[0]))
-        face = st.font["face"]
-        self.out.items.append({"kind": "text", "x": f32(px), "y": f32(py), "angle": f32(angle), "size": f32(em * scale_y(m)), "xs": xs, "text": s, "color": st.text_color, "bold": st.font["bold"], "vertical": face.startswith("@"), "clip": self.out.clip_id(st.clip)})
+        wide = 2.0 * abs(font.get("width", 0)) / em if font.get("width") and height else 1.0
+        self.out.items.append({"kind": "text", "x": f32(px), "y": f32(py), "angle": f32(font["escapement"] / 10), "size": f32(em * scale_y(m)), "sx": f32(wide), "xs": xs, "text": s, "color": st.text_color, "bold": font["bold"], "vertical": face.startswith("@"), "clip": self.out.clip_id(st.clip)})
 
     def image(self, box: tuple[float, float, float, float], picture: dict | None, mul: bool = False, alpha: float = 1.0) -> None:
         if picture is None:
@@ -278,19 +276,25 @@ class Interpreter:
     def raster(self, box: tuple, picture: dict | None, rop: int) -> None:
         """A picture under a raster operation; without one, a fill of the box."""
         if picture is None:
-            color = {0x42: 0, 0xFF0062: 0xFFFFFF}.get(rop, self.s.brush["color"] if self.s.brush["style"] != 1 else None)
+            color = {0x42: 0, 0xFF0062: 0xFFFFFF}.get(rop)
+            if rop in BRUSH_ROPS and self.s.brush["style"] != 1 and not (rop == 0xA000C9 and self.s.brush["color"] == 0xFFFFFF):
+                color = self.s.brush["color"]
             if color is not None:
                 x, y, w, h = box
                 self.out.items.append({"kind": "fill", "path": self.map(rect_path(x, y, x + w, y + h)), "color": color, "even_odd": False, "mul": False, "clip": self.out.clip_id(self.s.clip)})
             return
         rgba = picture.get("rgba")
-        if rgba is not None and rop in (0x8800C6, 0xEE0086, 0x660046, 0x330008):
+        if rgba is not None and rop in (0x8800C6, 0xEE0086, 0x660046, 0x330008, 0xB8074A, 0xE20746):
             rgba = rgba.copy()
+            if rop in (0xB8074A, 0xE20746):  # a mask through which the brush paints: its dark or its light part
+                part = (rgba[..., 0] < 128) == (rop == 0xB8074A)
+                rgba[part, :3] = [self.s.brush["color"] >> n & 0xFF for n in (16, 8, 0)]
+                rgba[~part, 3] = 0
             if rop == 0x8800C6:
                 rgba[(rgba[..., :3] >= 250).all(-1), 3] = 0
             elif rop == 0x330008:
                 rgba[..., :3] = 255 - rgba[..., :3]
-            else:
+            elif rop in (0xEE0086, 0x660046):
                 rgba[(rgba[..., :3] == 0).all(-1), 3] = 0
             picture = picture | {"rgba": rgba}
         self.image(box, picture, mul=rop == 0x8800C6)
@@ -336,6 +340,10 @@ class Interpreter:
             self.image((v[4], v[5], v[13], v[14]), dib.external(data), mul=v[12] & 0xFFFFFFFF == 0x8800C6)
 
 
+#: Raster operations that fill a rectangle with the brush.
+BRUSH_ROPS = {0xF00021, 0xA000C9, 0xFA0089, 0x5A0049}
+
+
 class EmfReader(Interpreter):
     def __init__(self, data: bytes, box: tuple[float, float], out: Display, pictures: list[bytes] = (), annotation: bool = False):
         frame = struct.unpack_from("<4i", data, 24)
@@ -501,7 +509,7 @@ class EmfReader(Interpreter):
             self.objects.pop(i4(8)[0], None)
         elif kind == 82:
             n, height, _, esc, _, weight = struct.unpack_from("<Iiiiii", r, 8)
-            self.objects[n] = ("font", {"height": height, "escapement": esc, "charset": r[35], "face": tx.utf16_cut(r[40:104]), "bold": weight >= 600})
+            self.objects[n] = ("font", {"height": height, "width": struct.unpack_from("<i", r, 16)[0], "escapement": esc, "charset": r[35], "face": tx.utf16_cut(r[40:104]), "bold": weight >= 600})
         elif kind == 42:
             self.emit(ellipse_path(*i4(8, 4)), True, True)
         elif kind == 43:
@@ -589,11 +597,11 @@ class EmfReader(Interpreter):
         x, y, n, off, options = struct.unpack_from("<iiIII", r, 36)
         box, steps_at = struct.unpack_from("<4i", r, 56), struct.unpack_from("<I", r, 72)[0]
         n = limits.fit(n, max(0, len(r) - off), 1 if kind == 83 else 2)
-        if options & 0x10:
+        if options & 2 and box[2] > box[0] and box[3] > box[1]:
+            self.out.items.append({"kind": "fill", "path": self.map(rect_path(*box)), "color": self.s.back_color, "even_odd": False, "mul": False, "clip": self.out.clip_id(self.s.clip)})
+        if options & 0x10 and n:
             self.out.skipped.append("text by glyph numbers")
             return
-        if options & 2:
-            self.out.items.append({"kind": "fill", "path": self.map(rect_path(*box)), "color": self.s.back_color, "even_odd": False, "mul": False, "clip": self.out.clip_id(self.s.clip)})
         raw = r[off : off + n * (1 if kind == 83 else 2)]
         text = tx.sjis_decode(raw) if kind == 83 else raw.decode("utf-16-le", "replace")
         steps = None

@@ -134,10 +134,8 @@ def decompress(src: bytes, size: int) -> bytes:
         if p > 1:
             p = (1 << (p - 1)) + b.take(p - 1)
         start = len(out) - p - 1
-        if start < 0:
-            before = min(n, -start)  # the window starts out as spaces
-            out += b" " * before
-            n, start = n - before, start + before
+        if start < 0 or p >= 1 << 13:
+            raise Corrupt("a match from before the data or beyond the window")
         if n <= len(out) - start:
             out += out[start : start + n]
         elif n:

@@ -118,8 +118,8 @@ class WmfReader(Interpreter):
         elif kind in (0x142, 0x1F9):
             self.keep("brush", {"style": 0, "color": 0x808080})
         elif kind == 0x2FB:
-            h, _, esc, _, weight = i2(6, 5)
-            self.keep("font", {"height": h, "escapement": esc, "charset": r[19], "face": tx.sjis_decode(r[24:56]), "bold": weight >= 600})
+            h, width, esc, _, weight = i2(6, 5)
+            self.keep("font", {"height": h, "width": width, "escapement": esc, "charset": r[19], "face": tx.sjis_decode(r[24:56]), "bold": weight >= 600})
         elif kind in (0xF7, 0x6FF):
             self.keep("other", {})
         elif kind == 0x12D:

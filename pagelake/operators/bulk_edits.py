@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.operators.pages import can_move
+from pagelake.session import ship
 
 
 def next_numbers(owners: DataFrame, members: DataFrame, owner: list[str]) -> DataFrame:
@@ -44,11 +46,16 @@ def delete_objects(objects: DataFrame, gone: DataFrame, keys: list[str]) -> Data
     return objects.join(gone.select(*keys), keys, "left_anti").unionByName(objects.filter(~can_move(F.col("kind"))).join(gone.select(*keys), keys, "left_semi"))
 
 
-def delete_pages(pages: DataFrame, gone: DataFrame, document: list[str], keys: list[str]) -> DataFrame:
-    """All but the pages in ``gone``, unless that would leave a document without pages."""
+def delete_pages(pages: DataFrame, gone: DataFrame, document: list[str], keys: list[str], order: str | None = None) -> DataFrame:
+    """All but the pages in ``gone``, which are deleted one after another by ``order`` (the last of ``keys``).
+
+    A document's only page is never deleted, so of a document all of whose pages are to go the last one stays.
+    """
+    order = order or keys[-1]
     marked = pages.join(gone.select(*keys, F.lit(True).alias("_gone")), keys, "left").withColumn("_gone", F.coalesce("_gone", F.lit(False)))
-    left = F.count_if(~F.col("_gone")).over(Window.partitionBy(*document))
-    return marked.withColumn("_left", left).filter(~F.col("_gone") | (F.col("_left") == 0)).drop("_gone", "_left")
+    whole = Window.partitionBy(*document)
+    marked = marked.withColumn("_left", F.count_if(~F.col("_gone")).over(whole)).withColumn("_last", F.max(order).over(whole))
+    return marked.filter(~F.col("_gone") | (F.col("_left") == 0) & (F.col(order) == F.col("_last"))).drop("_gone", "_left", "_last")
 
 
 def move_page(pages: DataFrame, document: list[str]) -> DataFrame:
@@ -79,20 +86,44 @@ def rename(docs: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
 def page_range(text: Column, n: Column) -> Column:
     """Pages of ``1-3,5``, from 1, in the order written; ranges may run backwards; beyond ``n`` is cut."""
     part = lambda s: F.split(F.trim(s), "\\s*-\\s*")
-    low, high = lambda s: F.try_element_at(part(s), F.lit(1)).try_cast("int"), lambda s: F.try_element_at(part(s), F.lit(-1)).try_cast("int")
-    pages = F.transform(F.split(text, ","), lambda s: F.when(low(s).isNull() | high(s).isNull(), F.array().cast("array<int>")).otherwise(F.sequence(low(s), high(s), F.when(low(s) <= high(s), 1).otherwise(-1))))
-    return F.filter(F.flatten(pages), lambda p: (p >= 1) & (p <= n))
+    low, high = lambda s: F.try_element_at(part(s), F.lit(1)).try_cast("long"), lambda s: F.try_element_at(part(s), F.lit(-1)).try_cast("long")
+    none = F.array().cast("array<long>")
+
+    def pages(s: Column) -> Column:  # both ends are held to 1..n before the range is written out
+        a, b, first = F.least(low(s), high(s)), F.greatest(low(s), high(s)), F.lit(1).cast("long")
+        a, b, up = F.greatest(a, first), F.least(b, n.cast("long")), low(s) <= high(s)
+        return F.when(low(s).isNull() | high(s).isNull() | (a > b), none).otherwise(F.when(up, F.sequence(a, b)).otherwise(F.reverse(F.sequence(a, b))))
+
+    return F.flatten(F.transform(F.split(text, ","), pages)).cast("array<int>")
 
 
 def history(log: DataFrame, document: list[str], order: str, depth: int = 200) -> DataFrame:
-    """After each step of a log of edits, undos (-1) and redos (+1): the version shown, of at most ``depth`` kept.
+    """After each step of a log of edits (0), undos (-1) and redos (1): the edits in effect (version), and the
+    steps that can be undone and done again. At most ``depth`` can be undone; an edit ends what could be done again.
 
-    Without a new edit after an undo this is a running sum held between 0 and the edits made.
+    Each step depends on all before it, so a document's log is folded in one task, in Arrow batches.
     """
-    w = Window.partitionBy(*document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    made = F.sum(F.when(F.col("step") == 0, 1).otherwise(0)).over(w)
-    back = F.sum(F.when(F.col("step") == -1, 1).otherwise(0)).over(w)
-    return log.withColumn("made", made).withColumn("version", F.greatest(F.col("made") - F.least(back, F.lit(depth)), F.lit(0)))
+    ship(log.sparkSession)
+    log = log.select(*document, order, "step")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        shown = back = ahead = 0
+        rows = []
+        for step in t["step"].to_pylist():
+            if step == 0:
+                shown, back, ahead = shown + 1, min(back + 1, depth), 0
+            elif step == -1 and back:
+                shown, back, ahead = shown - 1, back - 1, ahead + 1
+            elif step == 1 and ahead:
+                shown, back, ahead = shown + 1, back + 1, ahead - 1
+            rows.append((shown, back, ahead))
+        for name, column in zip(("version", "undoable", "redoable"), zip(*rows)):
+            t = t.append_column(name, pa.array(column, pa.int64()))
+        return t
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+    return log.groupBy(*document).applyInArrow(run, f"{kinds}, version long, undoable long, redoable long")
 
 
 def dirty(now: DataFrame, saved: DataFrame, document: list[str]) -> DataFrame:

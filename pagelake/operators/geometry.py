@@ -29,8 +29,10 @@ def to_device(v: Column, mode: Column, window: Column, window_size: Column, view
 
 
 def pattern_rect(rop: Column, brush: Column) -> Column:
-    """The colour of a rectangle filled by a raster operation alone."""
-    return F.when(rop == 0x42, 0).when(rop == 0xFF0062, 0xFFFFFF).otherwise(brush)
+    """The colour of a rectangle filled by a raster operation alone; null where nothing is painted: without a brush
+    (null), by an operation that does not paint with it, or by a white one that only darkens."""
+    with_brush = rop.isin(0xF00021, 0xFA0089, 0x5A0049) | (rop == 0xA000C9) & (brush != 0xFFFFFF)
+    return F.when(rop == 0x42, F.lit(0).cast("long")).when(rop == 0xFF0062, F.lit(0xFFFFFF).cast("long")).when(with_brush, brush.cast("long"))
 
 
 def running_points(steps: DataFrame, path: list[str], order: str) -> DataFrame:
@@ -55,9 +57,10 @@ def a4_for(iw: Column, ih: Column) -> tuple[Column, Column]:
     return F.when(iw > ih, 29700).otherwise(21000), F.when(iw > ih, 21000).otherwise(29700)
 
 
-def dedupe(rows: DataFrame, scope: list[str], content: str, out: str) -> DataFrame:
-    """Equal contents of a scope share a number, in order of first content."""
-    return rows.withColumn(out, F.dense_rank().over(Window.partitionBy(*scope).orderBy(content)))
+def dedupe(rows: DataFrame, scope: list[str], content: str, order: str, out: str) -> DataFrame:
+    """Equal contents of a scope share a number from 1, in the order of their first use."""
+    first = F.min(order).over(Window.partitionBy(*scope, content))
+    return rows.withColumn("_first", first).withColumn(out, F.dense_rank().over(Window.partitionBy(*scope).orderBy("_first", content))).drop("_first")
 
 
 def bounds(points: DataFrame, path: list[str]) -> DataFrame:

@@ -9,26 +9,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILE = ["file_id"]
-LEVELS = 9
 
 
-def _before(levels: int = LEVELS):
-    return Window.partitionBy(*FILE).orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
+def _levels(records: DataFrame, levels: int | None) -> tuple[DataFrame, int]:
+    """The levels to look at: those of the records where none are given. A record deeper than given fails the job."""
+    if levels is None:
+        deepest = records.agg(F.max("depth")).first()[0]
+        return records, 1 if deepest is None else deepest + 1
+    beyond = F.raise_error(F.format_string("a record at depth %d, beyond the levels given", "depth")).cast("int")
+    return records.withColumn("depth", F.when(F.col("depth") >= levels, beyond).otherwise(F.col("depth"))), levels
 
 
-def with_parent(records: DataFrame, levels: int = LEVELS) -> DataFrame:
+def with_parent(records: DataFrame, levels: int | None = None) -> DataFrame:
     """parent_no: the nearest earlier record of smaller depth, by the last record seen at each level."""
-    w = _before()
+    records, levels = _levels(records, levels)
+    w = Window.partitionBy(*FILE).orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.when(F.col("depth") > d, F.max(F.when(F.col("depth") == d, F.col("rec_no"))).over(w)) for d in range(levels)]
-    return records.withColumn("parent_no", F.greatest(*last))
+    return records.withColumn("parent_no", F.greatest(*last, F.lit(None).cast("long"), F.lit(None).cast("long")))
 
 
-def with_subtree_end(records: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """subtree_end: the next record of the same or smaller depth, or one past the file's last."""
-    after = Window.partitionBy(*FILE).orderBy("rec_no").rowsBetween(1, Window.unboundedFollowing)
+def with_subtree_end(records: DataFrame, levels: int | None = None) -> DataFrame:
+    """subtree_end: the next record of the same or smaller depth, or one past the file's last.
+
+    Records are read backwards, so that each level's next record is a running minimum.
+    """
+    records, levels = _levels(records, levels)
+    w = Window.partitionBy(*FILE).orderBy(F.desc("rec_no"))
+    after = w.rowsBetween(Window.unboundedPreceding, -1)
     nexts = [F.when(F.col("depth") >= d, F.min(F.when(F.col("depth") == d, F.col("rec_no"))).over(after)) for d in range(levels)]
-    end = F.max("rec_no").over(Window.partitionBy(*FILE)) + 1
-    return records.withColumn("subtree_end", F.coalesce(F.least(*nexts), end))
+    end = F.max("rec_no").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1
+    return records.withColumn("subtree_end", F.least(*nexts, end))
 
 
 def ancestor(records: DataFrame, kind: int, depth: int, out: str) -> DataFrame:

@@ -40,7 +40,7 @@ RUNS_SPARK, RUNS_DUCK = runs(WORDS_SPARK), runs(WORDS_DUCK)
 
 #: Definitions (supplier: name number -> name) and attributes (lineitem) of records.
 DEFS = "select s_suppkey % 40 as file_id, s_suppkey as tag, s_name as name from supplier"
-ATTRS = "select l_suppkey % 40 as file_id, l_orderkey as rec_no, l_linenumber as attr_no, l_suppkey as tag, l_partkey as value from lineitem where l_linenumber <= 2"
+ATTRS = "select l_suppkey % 40 as file_id, l_orderkey as rec_no, l_linenumber as attr_no, l_suppkey as tag, l_partkey as value from lineitem"
 
 #: Entries (parts) and references to them (lineitems).
 ENTRIES = "select p_size as file_id, p_partkey as entry_no, 100 + length(p_name) as len from part"

@@ -25,14 +25,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def without(name: str, bound: str) -> str:
-    """The SQL of a query that reads a subset, over the whole table."""
-    sql = ORACLE_SQL[name]
-    if bound not in sql:
-        raise ValueError(f"{name} has no {bound!r}")
-    return sql.replace(bound, "")
-
-
 def _long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -55,6 +47,15 @@ def subtree_end(spark, sf):
     return tree.with_subtree_end(frame(spark, sf, RECORDS), 5).select("file_id", "rec_no", "subtree_end")
 
 
+#: Chains of 14 levels, one after another, in each file.
+_CHAINS = "select p_size as file_id, cast(k as bigint) as rec_no, cast(k % 14 as int) as depth from (select p_size, row_number() over (partition by p_size order by p_partkey) - 1 as k from part) q"
+
+
+@query("deep_tree", f"select c.file_id, c.rec_no, case when c.rec_no % 14 > 0 then c.rec_no - 1 end as parent_no, least(c.rec_no - c.rec_no % 14 + 14, n) as subtree_end from ({_CHAINS}) c join (select p_size, count(*) as n from part group by 1) f on f.p_size = c.file_id")
+def deep_tree(spark, sf):
+    return tree.with_subtree_end(tree.with_parent(frame(spark, sf, _CHAINS))).select("file_id", "rec_no", "parent_no", "subtree_end")
+
+
 @query("subtree", f"select file_id, page_rec as root_no, count(*) as n, sum(w) as total_w from (select file_id, depth, w, max(case when depth = 2 then rec_no end) over (partition by file_id order by rec_no rows between unbounded preceding and current row) as page_rec from ({RECORDS}) r) q where depth >= 2 group by 1, 2")
 def subtree(spark, sf):
     r = frame(spark, sf, RECORDS)
@@ -205,26 +206,17 @@ def editable(spark, sf):
     return q.groupBy("kind", "marked", "editable").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PIC_OBJECTS = "select o_custkey % 40 as file_id, o_orderkey as rec_no, cast(o_orderkey % 104 as int) as n_pictures from orders where o_orderkey % 20 = 3"
-_PIC_ATTRS = "select o.o_custkey % 40 as file_id, o.o_orderkey as rec_no, 300 + p.p_partkey as tag, case when p.p_partkey > 100 then '#pd' end as name, case when p.p_partkey > 100 then p.p_partkey end as idx, p.p_partkey * 7 as entry_no from orders o join part p on p.p_partkey <= 104 and p.p_partkey % 10 = o.o_orderkey % 10 where o.o_orderkey % 20 = 3"
-
-
-@query("object_pictures", f"select a.file_id, a.rec_no, tag - 300 as k, entry_no from ({_PIC_ATTRS}) a join ({_PIC_OBJECTS}) o on a.rec_no = o.rec_no and a.file_id = o.file_id where tag - 300 <= n_pictures")
-def object_pictures(spark, sf):
-    return _object_pictures(spark, sf, _PIC_OBJECTS, _PIC_ATTRS)
+_PIC_OBJECTS = "select o_custkey % 40 as file_id, o_orderkey as rec_no, cast(o_orderkey % 104 as int) as n_pictures from orders"
+_PIC_ATTRS = "select o.o_custkey % 40 as file_id, o.o_orderkey as rec_no, 300 + p.p_partkey as tag, case when p.p_partkey > 100 then '#pd' end as name, case when p.p_partkey > 100 then p.p_partkey end as idx, p.p_partkey * 7 as entry_no from orders o join part p on p.p_partkey <= 104 and p.p_partkey % 10 = o.o_orderkey % 10"
 
 
 def _object_pictures(spark, sf, objects, attrs):
     return pages.object_pictures(frame(spark, sf, objects), frame(spark, sf, attrs)).select("file_id", "rec_no", F.col("k").cast("long").alias("k"), "entry_no")
 
 
-#: Over all orders there are attributes of tag 300 too (part 0), which is before the first picture's.
-_PIC_OBJECTS_ALL, _PIC_ATTRS_ALL = _PIC_OBJECTS.replace(" where o_orderkey % 20 = 3", ""), _PIC_ATTRS.replace(" where o.o_orderkey % 20 = 3", "")
-
-
-@query("object_pictures_all", f"select a.file_id, a.rec_no, tag - 300 as k, entry_no from ({_PIC_ATTRS_ALL}) a join ({_PIC_OBJECTS_ALL}) o on a.rec_no = o.rec_no and a.file_id = o.file_id where tag - 300 between 1 and n_pictures")
-def object_pictures_all(spark, sf):
-    return _object_pictures(spark, sf, _PIC_OBJECTS_ALL, _PIC_ATTRS_ALL)
+@query("object_pictures", f"select a.file_id, a.rec_no, tag - 300 as k, entry_no from ({_PIC_ATTRS}) a join ({_PIC_OBJECTS}) o on a.rec_no = o.rec_no and a.file_id = o.file_id where tag - 300 between 1 and n_pictures")
+def object_pictures(spark, sf):
+    return _object_pictures(spark, sf, _PIC_OBJECTS, _PIC_ATTRS)
 
 
 @query("drawing_ref", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber % 2 = 1 then l_partkey end as entry_no from lineitem")
@@ -280,11 +272,13 @@ def dw_points(spark, sf):
     return geometry.running_points(frame(spark, sf, _STEPS), ["user_id"], "event_id").select("user_id", "event_id", *_long("px", "py"))
 
 
-@query("pattern_rect", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber when 1 then 0 when 2 then 16777215 else l_partkey end as color from lineitem")
+_ROPS = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 7 = 0 then null when l_partkey % 5 = 0 then 16777215 else l_partkey end as brush, element_at(array(66, 16711778, 15728673, 10485961, 16384137, 5898313, 13369376), l_linenumber) as rop from lineitem"
+
+
+@query("pattern_rect", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber = 1 then 0 when l_linenumber = 2 then 16777215 when l_linenumber > 6 or l_partkey % 7 = 0 then null when l_partkey % 5 = 0 then case when l_linenumber <> 4 then 16777215 end else l_partkey end as color from lineitem")
 def pattern_rect(spark, sf):
-    rop = F.when(F.col("l_linenumber") == 1, 0x42).when(F.col("l_linenumber") == 2, 0xFF0062).otherwise(0xF00021)
-    q = frame(spark, sf, "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem")
-    return q.withColumn("color", geometry.pattern_rect(rop, F.col("l_partkey")))
+    q = frame(spark, sf, _ROPS)
+    return q.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", geometry.pattern_rect(F.col("rop"), F.col("brush")).alias("color"))
 
 
 @query("arc_bezier", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x + w * (cos(a) - k * sin(a)), 4) as c1x, round(y + h * (sin(a) + k * cos(a)), 4) as c1y, round(x + w * cos(b), 4) as ex, round(y + h * sin(b), 4) as ey from (select *, radians(rotation) as a, radians(rotation + 60) as b, 4.0 / 3.0 * tan((radians(rotation + 60) - radians(rotation)) / 4) as k from ({_BOX}) s) q")
@@ -295,9 +289,9 @@ def arc_bezier(spark, sf):
     return frame(spark, sf, _BOX).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round(v, 4).alias(n) for n, v in zip(names, p) if n[:2] != "c2"))
 
 
-@query("clip_dedupe", "select user_id, event_id, dense_rank() over (partition by user_id order by event_type) as clip from events")
+@query("clip_dedupe", "select e.user_id, event_id, clip from events e join (select user_id, event_type, row_number() over (partition by user_id order by min(event_id)) as clip from events group by 1, 2) f on e.user_id = f.user_id and e.event_type = f.event_type")
 def clip_dedupe(spark, sf):
-    return geometry.dedupe(frame(spark, sf, "select user_id, event_id, event_type from events"), ["user_id"], "event_type", "clip").select("user_id", "event_id", F.col("clip").cast("long").alias("clip"))
+    return geometry.dedupe(frame(spark, sf, "select user_id, event_id, event_type from events"), ["user_id"], "event_type", "event_id", "clip").select("user_id", "event_id", F.col("clip").cast("long").alias("clip"))
 
 
 _POINTS_SPARK = "select vec_id, k, cast(round(embedding[2*k]*10000) as bigint) as x, cast(round(embedding[2*k+1]*10000) as bigint) as y from (select vec_id, embedding, explode(sequence(0,31)) as k from embeddings) e"
@@ -543,7 +537,7 @@ def placement(spark, sf):
 _DOC_PAGES = "select o_custkey as doc, row_number() over (partition by o_custkey order by o_orderkey) - 1 as page_no, o_orderkey as rec, cast(21000 as bigint) as w, cast(29700 as bigint) as h from orders"
 
 
-@query("delete_page", f"select doc, page_no, rec from (select *, sum(case when rec % 4 <> 1 then 1 else 0 end) over (partition by doc) as rest from ({_DOC_PAGES}) p) q where rec % 4 <> 1 or rest = 0")
+@query("delete_page", f"select doc, page_no, rec from (select *, count(*) over (partition by doc) as n, sum(case when rec % 4 <> 1 then 1 else 0 end) over (partition by doc) as rest from ({_DOC_PAGES}) p) q where rec % 4 <> 1 or (rest = 0 and page_no = n - 1)")
 def delete_page(spark, sf):
     p = frame(spark, sf, _DOC_PAGES)
     return bulk_edits.delete_pages(p, p.filter("rec % 4 = 1"), ["doc"], ["doc", "rec"]).select("doc", F.col("page_no").cast("long").alias("page_no"), "rec")
@@ -564,7 +558,7 @@ def insert_blank_page(spark, sf):
     return bulk_edits.insert_pages(p, new, ["doc"]).select("doc", F.col("new_no").cast("long").alias("new_no"), "w", "h")
 
 
-_IMPORTED = "select l_suppkey as target, l_orderkey as rec_no, l_linenumber as attr_no, p_size as source, p_partkey as entry_no, cast(100 as bigint) as base from lineitem join part on l_partkey = p_partkey where l_linenumber <= 2"
+_IMPORTED = "select l_suppkey as target, l_orderkey as rec_no, l_linenumber as attr_no, p_size as source, p_partkey as entry_no, cast(100 as bigint) as base from lineitem join part on l_partkey = p_partkey"
 
 
 @query("insert_pages_from", f"select target, rec_no, attr_no, source, entry_no, 99 + dense_rank() over (partition by target order by source, entry_no) as new_no from ({_IMPORTED}) q")
@@ -599,12 +593,21 @@ def page_range_parse(spark, sf):
     return q.select("o_orderkey", F.concat_ws(",", bulk_edits.page_range(F.col("r"), F.lit(5)).cast("array<string>")).alias("pages"))
 
 
-_LOG = "select user_id, event_id, case event_type when 'error' then -1 else 0 end as step from events"
+_LOG = "select user_id, event_id, case event_type when 'error' then -1 when 'signup' then 1 else 0 end as step from events"
 
+#: One step of all logs at a time, with the versions that can be undone to and done again as lists.
+_HISTORY = f"""with recursive steps as (select user_id, event_id, step, row_number() over (partition by user_id order by event_id) as k from ({_LOG}) l),
+ states as (select user_id, cast(0 as bigint) as k, cast(0 as bigint) as event_id, 0 as now, 0 as made, cast([] as integer[]) as undo, cast([] as integer[]) as redo from (select distinct user_id from steps) u
+ union all select s.user_id, s.k, s.event_id, case when s.step = 0 then t.made + 1 when s.step = -1 and len(t.undo) > 0 then t.undo[-1] when s.step = 1 and len(t.redo) > 0 then t.redo[-1] else t.now end,
+ case when s.step = 0 then t.made + 1 else t.made end,
+ case when s.step = 0 then list_append(t.undo, t.now)[-5:] when s.step = -1 then t.undo[:-2] when len(t.redo) > 0 then list_append(t.undo, t.now) else t.undo end,
+ case when s.step = 0 then cast([] as integer[]) when s.step = -1 and len(t.undo) > 0 then list_append(t.redo, t.now) when s.step = 1 then t.redo[:-2] else t.redo end
+ from states t join steps s on s.user_id = t.user_id and s.k = t.k + 1)"""
 
-@query("undo_redo", f"select user_id, event_id, made, greatest(made - least(back, 200), 0) as version from (select user_id, event_id, count(case when step = 0 then 1 end) over w as made, count(case when step = -1 then 1 end) over w as back from ({_LOG}) l window w as (partition by user_id order by event_id rows between unbounded preceding and current row)) q")
+
+@query("undo_redo", _HISTORY + " select user_id, event_id, cast(len(undo) as bigint) as undoable, cast(len(redo) as bigint) as redoable from states where k > 0")
 def undo_redo(spark, sf):
-    return bulk_edits.history(frame(spark, sf, _LOG), ["user_id"], "event_id").select("user_id", "event_id", *_long("made", "version"))
+    return bulk_edits.history(frame(spark, sf, _LOG), ["user_id"], "event_id", 5).select("user_id", "event_id", "undoable", "redoable")
 
 
 @query("dirty", f"select distinct page from ({_OBJ}) o where page % 4 = 1 and x <> 100")
@@ -677,40 +680,25 @@ def verify_file(spark, sf):
     return save.verify(q)
 
 
-_CHARS_SPARK = "select doc_id, pos as seq, ch from (select doc_id, posexplode(split(text, '')) as (pos, ch) from documents) q where ch <> '' and ascii(ch) < 128"
-_CHARS_DUCK = "select doc_id, seq, ch from (select doc_id, unnest(range(length(text))) as seq, unnest(string_split(text, '')) as ch from documents) q where ord(ch) < 128"
+_CHARS_SPARK = "select doc_id, pos as seq, ch from (select doc_id, posexplode(split(text, '')) as (pos, ch) from documents) q where ch <> ''"
+_CHARS_DUCK = "select doc_id, seq, ch from (select doc_id, unnest(range(length(text))) as seq, unnest(string_split(text, '')) as ch from documents) q"
 _CODES = f"select doc_id, ch, seq, row_number() over (partition by doc_id order by seq) as code from (select doc_id, ch, min(seq) as seq from ({_CHARS_DUCK}) c group by 1, 2) q"
 
 
+_UNITS = "case when ord(ch) < 65536 then printf('%04X', ord(ch)) else printf('%04X%04X', 55296 + (ord(ch) - 65536) // 1024, 56320 + (ord(ch) - 65536) % 1024) end"
+
+
 @query("pdf_codes", f"select doc_id, ch, code from ({_CODES}) q")
 def pdf_codes(spark, sf):
     return save.pdf_codes(frame(spark, sf, _CHARS_SPARK), ["doc_id"]).select("doc_id", "ch", F.col("code").cast("long").alias("code"))
 
 
-@query("pdf_tounicode", f"select doc_id, cast(n // 20 as bigint) as block_no, string_agg(printf('<%04X> <%04X>', code, ord(ch)), chr(10) order by n) as bfchar from (select *, row_number() over (partition by doc_id order by ch) - 1 as n from ({_CODES}) q) p group by 1, 2")
+@query("pdf_tounicode", f"select doc_id, cast(n // 20 as bigint) as block_no, string_agg(printf('<%04X> <', code) || {_UNITS} || '>', chr(10) order by n) as bfchar from (select *, row_number() over (partition by doc_id order by ord(ch)) - 1 as n from ({_CODES}) q) p group by 1, 2")
 def pdf_tounicode(spark, sf):
     codes = save.pdf_codes(frame(spark, sf, _CHARS_SPARK), ["doc_id"])
     return save.pdf_tounicode(codes, ["doc_id"], 20).select("doc_id", "block_no", "bfchar")
 
 
-# the same over every character of the texts, beyond ASCII too
-
-_ALL_SPARK, _ALL_DUCK = _CHARS_SPARK.replace(" and ascii(ch) < 128", ""), _CHARS_DUCK.replace(" where ord(ch) < 128", "")
-_CODES_ALL = _CODES.replace(_CHARS_DUCK, _ALL_DUCK)
-_UNITS = "case when ord(ch) < 65536 then printf('%04X', ord(ch)) else printf('%04X%04X', 55296 + (ord(ch) - 65536) // 1024, 56320 + (ord(ch) - 65536) % 1024) end"
-
-
-@query("pdf_codes_all", f"select doc_id, ch, code from ({_CODES_ALL}) q")
-def pdf_codes_all(spark, sf):
-    return save.pdf_codes(frame(spark, sf, _ALL_SPARK), ["doc_id"]).select("doc_id", "ch", F.col("code").cast("long").alias("code"))
-
-
-@query("pdf_tounicode_all", f"select doc_id, cast(n // 20 as bigint) as block_no, string_agg(printf('<%04X> <', code) || {_UNITS} || '>', chr(10) order by n) as bfchar from (select *, row_number() over (partition by doc_id order by ord(ch)) - 1 as n from ({_CODES_ALL}) q) p group by 1, 2")
-def pdf_tounicode_all(spark, sf):
-    codes = save.pdf_codes(frame(spark, sf, _ALL_SPARK), ["doc_id"])
-    return save.pdf_tounicode(codes, ["doc_id"], 20).select("doc_id", "block_no", "bfchar")
-
-
 @query("pdf_positions", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x * 72.0 / 2540.0, 4) as px, round((29700 - y) * 72.0 / 2540.0, 4) as py from ({_BOX}) s")
 def pdf_positions(spark, sf):
     px, py = save.pdf_points(F.col("x"), F.col("y"), F.lit(29700))

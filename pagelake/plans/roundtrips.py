@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.plans.fixtures import frame
-from pagelake.plans.queries import query, without
+from pagelake.plans.queries import query
 from pagelake.sources.files import decode, map_bytes, plain_text_document, text_document
 
 
@@ -47,20 +47,15 @@ def _shape(n: int, w: float, h: float):
     return d.save()
 
 
-def _roundtrip_objects(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
+def _roundtrip_objects(spark: SparkSession, sf: str) -> DataFrame:
     """Rectangles added and their pages turned, in files, against arithmetic on the rows."""
-    rows = _spread(frame(spark, sf, f"select p_partkey as n, cast(p_size * 10 + 100 as double) as w, cast(p_size * 20 + 200 as double) as h from part{where}")).withColumn("m", F.col("n"))
+    rows = _spread(frame(spark, sf, f"select p_partkey as n, cast(p_size * 10 + 100 as double) as w, cast(p_size * 20 + 200 as double) as h from part")).withColumn("m", F.col("n"))
     files = _files(rows, "n", ["m", "w", "h"], _shape)
     return decode(files, "objects").select(F.col("path").cast("long").alias("n"), "kind_name", "x", "w", "rotation")
 
 
-@query("roundtrip_objects", "select p_partkey as n, 'rectangle' as kind_name, case p_partkey % 4 when 0 then 1000 + p_partkey % 500 when 1 then 29700 - 2000 - p_size * 20 - 200 when 2 then 21000 - (1000 + p_partkey % 500) - p_size * 10 - 100 else 2000 end as x, case when p_partkey % 2 = 0 then p_size * 10 + 100 else p_size * 20 + 200 end as w, (p_partkey % 4) * 90 as rotation from part where p_partkey <= 2000")
+@query("roundtrip_objects", "select p_partkey as n, 'rectangle' as kind_name, case p_partkey % 4 when 0 then 1000 + p_partkey % 500 when 1 then 29700 - 2000 - p_size * 20 - 200 when 2 then 21000 - (1000 + p_partkey % 500) - p_size * 10 - 100 else 2000 end as x, case when p_partkey % 2 = 0 then p_size * 10 + 100 else p_size * 20 + 200 end as w, (p_partkey % 4) * 90 as rotation from part")
 def roundtrip_objects(spark: SparkSession, sf: str) -> DataFrame:
-    return _roundtrip_objects(spark, sf, " where p_partkey <= 2000")
-
-
-@query("roundtrip_objects_all", without("roundtrip_objects", " where p_partkey <= 2000"))
-def roundtrip_objects_all(spark: SparkSession, sf: str) -> DataFrame:
     return _roundtrip_objects(spark, sf)
 
 
@@ -98,19 +93,14 @@ def _script(n: int):
     return run_script(blank(), ops + [{"op": "delete_page", "page": 0}] * (n % 5 == 0)).save()
 
 
-def _edit_script(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
+def _edit_script(spark: SparkSession, sf: str) -> DataFrame:
     """Scripts of edits over files; each is a fold over one file, files are independent."""
-    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part{where}"))
+    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part"))
     return decode(_files(rows, "n", ["m"], _script), "pages").select(F.col("path").cast("long").alias("n"), "page_no", "w", "n_objects")
 
 
-@query("edit_script", "select n, case when n % 5 = 0 then 0 else p end as page_no, case when p = 1 then 21000 when n % 2 = 0 then 25700 else 36400 end as w, case when p = 1 then n % 3 else 0 end as n_objects from (select p_partkey as n, unnest([0, 1]) as p from part where p_partkey <= 500) q where n % 5 <> 0 or p = 1")
+@query("edit_script", "select n, case when n % 5 = 0 then 0 else p end as page_no, case when p = 1 then 21000 when n % 2 = 0 then 25700 else 36400 end as w, case when p = 1 then n % 3 else 0 end as n_objects from (select p_partkey as n, unnest([0, 1]) as p from part) q where n % 5 <> 0 or p = 1")
 def edit_script(spark: SparkSession, sf: str) -> DataFrame:
-    return _edit_script(spark, sf, " where p_partkey <= 500")
-
-
-@query("edit_script_all", without("edit_script", " where p_partkey <= 500"))
-def edit_script_all(spark: SparkSession, sf: str) -> DataFrame:
     return _edit_script(spark, sf)
 
 
@@ -202,33 +192,23 @@ def _pictured(n: int):
     return d.save()
 
 
-def _sink_image(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
-    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part{where}"))
+def _sink_image(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part"))
     return decode(_files(rows, "n", ["m"], _pictured), "images").select(F.col("path").cast("long").alias("n"), "page_no", "w", "h")
 
 
-@query("sink_image", "select p_partkey as n, 0 as page_no, 3 as w, 2 + p_partkey % 3 as h from part where p_partkey <= 200")
+@query("sink_image", "select p_partkey as n, 0 as page_no, 3 as w, 2 + p_partkey % 3 as h from part")
 def sink_image(spark, sf):
-    return _sink_image(spark, sf, " where p_partkey <= 200")
-
-
-@query("sink_image_all", without("sink_image", " where p_partkey <= 200"))
-def sink_image_all(spark, sf):
     return _sink_image(spark, sf)
 
 
-def _add_picture(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
-    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part{where}"))
+def _add_picture(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part"))
     return decode(_files(rows, "n", ["m"], _pictured), "objects").select(F.col("path").cast("long").alias("n"), "kind_name", "x")
 
 
-@query("add_picture", "select p_partkey as n, case when p_partkey % 2 = 1 then 'object' else 'picture' end as kind_name, 100 as x from part where p_partkey <= 200")
+@query("add_picture", "select p_partkey as n, case when p_partkey % 2 = 1 then 'object' else 'picture' end as kind_name, 100 as x from part")
 def add_picture(spark, sf):
-    return _add_picture(spark, sf, " where p_partkey <= 200")
-
-
-@query("add_picture_all", without("add_picture", " where p_partkey <= 200"))
-def add_picture_all(spark, sf):
     return _add_picture(spark, sf)
 
 
@@ -313,22 +293,17 @@ def _broken(n: int):
     return (raw[: len(raw) - n % 2] if n % 3 else b"\x60" * (n % 40)), "bytes"
 
 
-def _safe_read(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
+def _safe_read(spark: SparkSession, sf: str) -> DataFrame:
     """Broken files among whole ones: error rows, not a failed job."""
-    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part{where}"))
+    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part"))
     c = decode(_files(rows, "n", ["m"], _broken), "containers")
     whole = F.col("error_class").isNull()
     return c.select(F.col("path").cast("long").alias("n"), F.when(whole, "ok").when(F.col("path").cast("long") % 3 == 0, F.col("error_class")).otherwise("bad").alias("result"))
 
 
-@query("safe_read", "select p_partkey as n, case when p_partkey % 3 = 0 then 'NotXdw' when p_partkey % 2 = 0 then 'ok' else 'bad' end as result from part where p_partkey <= 300 and (p_partkey % 3 <> 0 or p_partkey % 40 < 24)")
-def safe_read(spark, sf):
-    return _safe_read(spark, sf, " where p_partkey <= 300 and (p_partkey % 3 <> 0 or p_partkey % 40 < 24)")
-
-
 #: Broken files of 24 bytes and more are long enough to be read into: their first element runs past the end.
-@query("safe_read_all", "select p_partkey as n, case when p_partkey % 3 = 0 and p_partkey % 40 < 24 then 'NotXdw' when p_partkey % 3 = 0 then 'Corrupt' when p_partkey % 2 = 0 then 'ok' else 'bad' end as result from part")
-def safe_read_all(spark, sf):
+@query("safe_read", "select p_partkey as n, case when p_partkey % 3 = 0 and p_partkey % 40 < 24 then 'NotXdw' when p_partkey % 3 = 0 then 'Corrupt' when p_partkey % 2 = 0 then 'ok' else 'bad' end as result from part")
+def safe_read(spark, sf):
     return _safe_read(spark, sf)
 
 
@@ -355,19 +330,14 @@ def _bindered(n: int):
     return d.save()
 
 
-def _add_binder_docs(spark: SparkSession, sf: str, where: str = "") -> DataFrame:
-    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part{where}"))
+def _add_binder_docs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _spread(frame(spark, sf, f"select p_partkey as n, p_partkey as m from part"))
     b = decode(_files(rows, "n", ["m"], _bindered), "binder_docs")
     return b.select(F.col("path").cast("long").alias("n"), "doc_no", "name", F.col("first_page").cast("long").alias("first_page"), "pages")
 
 
-@query("add_binder_docs", "select n, k as doc_no, 'doc ' || k as name, cast(k * (k + 1) / 2 as bigint) as first_page, k + 1 as pages from (select p_partkey as n, unnest(range(1 + p_partkey % 3)) as k from part where p_partkey <= 150) q")
+@query("add_binder_docs", "select n, k as doc_no, 'doc ' || k as name, cast(k * (k + 1) / 2 as bigint) as first_page, k + 1 as pages from (select p_partkey as n, unnest(range(1 + p_partkey % 3)) as k from part) q")
 def add_binder_docs(spark, sf):
-    return _add_binder_docs(spark, sf, " where p_partkey <= 150")
-
-
-@query("add_binder_docs_all", without("add_binder_docs", " where p_partkey <= 150"))
-def add_binder_docs_all(spark, sf):
     return _add_binder_docs(spark, sf)
 
 

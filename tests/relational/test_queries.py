@@ -81,12 +81,12 @@ def test_files_are_written_scanned_and_edited(spark, tmp_path):
     assert [tuple(r) for r in log.collect()] == [(1, 3, "c")]
 
 
-@pytest.mark.parametrize("name", ["edit_script_all", "sink_image_all", "add_picture_all", "add_binder_docs_all", "safe_read_all", "object_pictures_all"])
-def test_whole_queries_pass_the_bounds_of_the_others(spark, name, tmp_path):
+@pytest.mark.parametrize("name", ["edit_script", "sink_image", "add_picture", "add_binder_docs", "safe_read", "object_pictures"])
+def test_queries_cover_whole_tables(spark, name, tmp_path):
     for t in TABLES:
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     spark.createDataFrame([(k, 1) for k in (1, 11, 601, 2011)], "p_partkey long, p_size int").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
-    key = "rec_no" if name == "object_pictures_all" else "n"
+    key = "rec_no" if name == "object_pictures" else "n"
     found = {r[0] for r in QUERIES[name](spark, str(tmp_path)).select(key).collect()}
     if key == "n":
         assert found == {1, 11, 601, 2011}
@@ -98,12 +98,12 @@ def test_code_maps_hold_whole_texts(spark, tmp_path):
     for t in TABLES:
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     spark.createDataFrame([(1, "aé😀aß\U00010000")], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
-    codes = {r.ch: r.code for r in QUERIES["pdf_codes_all"](spark, str(tmp_path)).collect()}
+    codes = {r.ch: r.code for r in QUERIES["pdf_codes"](spark, str(tmp_path)).collect()}
     assert codes == {"a": 1, "é": 2, "😀": 3, "ß": 4, "\U00010000": 5}
-    (row,) = QUERIES["pdf_tounicode_all"](spark, str(tmp_path)).collect()
+    (row,) = QUERIES["pdf_tounicode"](spark, str(tmp_path)).collect()
     assert row.bfchar.split("\n") == ["<0001> <0061>", "<0004> <00DF>", "<0002> <00E9>", "<0005> <D800DC00>", "<0003> <D83DDE00>"]
 
 
 def test_broken_files_of_24_bytes_and_more_are_read_into(spark):
-    found = {r.n: r.result for r in QUERIES["safe_read_all"](spark, SF).collect()}
+    found = {r.n: r.result for r in QUERIES["safe_read"](spark, SF).collect()}
     assert found[3] == "NotXdw" and found[24] == found[39] == "Corrupt"
