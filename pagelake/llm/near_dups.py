@@ -47,9 +47,9 @@ HOT = 32
 LEAST = 0.35
 #: Of a sketch's values, the share of hot ones above which a class takes part with its whole set.
 HEAVY = 0.38
-#: Hubs that a class of a long list tries in a round, rounds at most (they end when one does not halve the pairs), and
-#: pairs a row of a list that need no round.
-TRIES, ROUNDS, FEW = 3, 4, 8
+#: Hubs that a class of a long list tries in a round, rounds at most (they end when few tries hit), and pairs a row of a
+#: list that need no round.
+TRIES, ROUNDS, FEW = 3, 4, 100
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,15 +230,19 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         roots = components(links)
     if long_lists is not None:
         rows = long_lists.withColumnRenamed("rep", "x").drop("hub")
-        before = math.inf
         for k in range(ROUNDS + 1):
             lists = cut(_with_main(root(rows, "x")))
             size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rx") != F.col("main")).alias("o")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("o")).alias("pairs")).first()
-            now = size["pairs"] or 0
-            if k == ROUNDS or now <= FEW * (size["rows"] or 0) or now > before / 2:
+            if k == ROUNDS or (size["pairs"] or 0) <= FEW * (size["rows"] or 0):
                 break
-            before = now
-            links = links.unionByName(confirmed(cut(_estimated(_tries(lists, k), classes))))
+            tried = cut(_estimated(_tries(lists, k, percent), classes))
+            found = confirmed(tried)
+            if 20 * found.count() < tried.count():
+                links = links.unionByName(found)
+                roots = components(links)
+                lists = cut(_with_main(root(rows, "x")))
+                break
+            links = links.unionByName(found)
             roots = components(links)
         apart = cut(_across(lists, classes, percent))
         if apart.limit(1).count():
@@ -255,11 +259,13 @@ def _with_main(rows: DataFrame) -> DataFrame:
     return rows.join(main.drop("of"), "v")
 
 
-def _tries(rows: DataFrame, k: int) -> DataFrame:
-    """The rows of a list beyond its main component, each with TRIES rows of that one."""
-    drawn = [F.min_by("x", F.struct(F.xxhash64(F.lit(k * TRIES + j + 1), "x", "v"), "x")) for j in range(TRIES)]
-    hubs = rows.filter("rx = main").groupBy("v").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("v", F.explode("hubs").alias("hub"))
-    return rows.filter("rx <> main").join(hubs, "v").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
+def _tries(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of a list beyond its main component, each with TRIES rows of that one whose sizes fit."""
+    drawn = [F.min_by(F.struct("x", "n"), F.struct(F.xxhash64(F.lit(k * TRIES + j + 1), "x", "v"), "x")) for j in range(TRIES)]
+    hubs = rows.filter("rx = main").groupBy("v").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("v", F.explode("hubs").alias("h"))
+    hubs = hubs.select("v", F.col("h.x").alias("hub"), F.col("h.n").alias("nb"))
+    met = rows.filter("rx <> main").withColumnRenamed("n", "na").join(hubs, "v").filter(_sizes_fit(F.col("na"), F.col("nb"), percent))
+    return met.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
 
 
 def _across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
