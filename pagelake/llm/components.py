@@ -38,3 +38,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
+
+
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root of ``roots`` (as ``components`` gives them) after further ``edges`` (u, v long).
+
+    The edges are taken between roots, so the work is that of the new edges and not of all before.
+    """
+    at = lambda df, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(x, F.coalesce(f"r{x}", x)).drop(f"r{x}")
+    moved = components(at(at(edges.select("u", "v"), "u"), "v"))
+    now = roots.join(moved.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(now.unionByName(moved.join(roots, "node", "left_anti")))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import by_size, cut, free, give_back, kept, ship, table
-from pagelake.llm.components import components
+from pagelake.llm.components import components, merged
 from pagelake.llm.simhash import _mix, _powers
 
 K = 32
@@ -221,13 +221,11 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         return out
 
     best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"))
-    links = confirmed(best)
-    roots = components(links)
+    roots = components(confirmed(best))
     root = lambda df, x: df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
     apart = cut(root(root(pairs.join(best, ["a", "b"], "left_anti"), "a"), "b").filter("ra <> rb").select("a", "b"))
     if apart.limit(1).count():
-        links = links.unionByName(confirmed(apart))
-        roots = components(links)
+        roots = merged(roots, confirmed(apart))
     if long_lists is not None:
         rows = long_lists.withColumnRenamed("rep", "x").drop("hub")
         for k in range(ROUNDS + 1):
@@ -237,16 +235,13 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
                 break
             tried = cut(_estimated(_tries(lists, k, percent), classes))
             found = confirmed(tried)
+            roots = merged(roots, found)
             if 20 * found.count() < tried.count():
-                links = links.unionByName(found)
-                roots = components(links)
                 lists = cut(_with_main(root(rows, "x")))
                 break
-            links = links.unionByName(found)
-            roots = components(links)
         apart = cut(_across(lists, classes, percent))
         if apart.limit(1).count():
-            roots = components(links.unionByName(confirmed(apart)))
+            roots = merged(roots, confirmed(apart))
     member = seen.select("doc_id", "digest", "n").join(classes.select("digest", "rep"), "digest", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return member.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -11,7 +11,7 @@ import pytest
 
 from pagelake.llm import html_text, langid, near_dups, nearest, packing, quality, sharding, simhash
 from pagelake.llm.common import tokenizer_path
-from pagelake.llm.components import components
+from pagelake.llm.components import components, merged
 from pagelake.llm.token_counts import PrefixCounter
 
 
@@ -273,6 +273,19 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_merged_components_equal_those_of_all_edges(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(7, 7)]
+    frame = lambda some: spark.createDataFrame(some, "u long, v long")
+    whole = {x.node: x.root for x in components(frame(edges)).collect()}
+    for first in (0, 40, 150, len(edges)):
+        steps = components(frame(edges[:first]))
+        for part in (edges[first : first + 50], edges[first + 50 :]):
+            steps = merged(steps, frame(part))
+        got = steps.collect()
+        assert {x.node: x.root for x in got} == whole and len(got) == len(whole)
+
+
 def test_the_estimate_hardly_ever_drops_a_pair():
     assert near_dups.expected_misses() < 1e-6
 
