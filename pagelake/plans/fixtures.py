@@ -42,9 +42,9 @@ RUNS_SPARK, RUNS_DUCK = runs(WORDS_SPARK), runs(WORDS_DUCK)
 DEFS = "select s_suppkey % 40 as file_id, s_suppkey as tag, s_name as name from supplier"
 ATTRS = "select l_suppkey % 40 as file_id, l_orderkey as rec_no, l_linenumber as attr_no, l_suppkey as tag, l_partkey as value from lineitem"
 
-#: Entries (parts) and references to them (lineitems).
+#: Entries (parts) and references to them (all lineitems, to every third entry, so that the others are garbage).
 ENTRIES = "select p_size as file_id, p_partkey as entry_no, 100 + length(p_name) as len from part"
-REFS = "select p_size as file_id, l_orderkey as rec_no, l_linenumber as attr_no, l_partkey as entry_no from lineitem join part on l_partkey = p_partkey where l_linenumber = 1"
+REFS = "select p_size as file_id, l_orderkey as rec_no, l_linenumber as attr_no, p_partkey as entry_no from lineitem join part on p_partkey = l_partkey - l_partkey % 3 + 1"
 
 #: Binders (conversations) of documents (turns) with page counts.
 BINDERS = "select conv_id as binder, turn as doc_no, concat('doc ', role) as name, case when role = 'system' then 0 else 1 + length(text) % 5 end as pages from conversations"

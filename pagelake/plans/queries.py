@@ -122,7 +122,7 @@ def kind_name(spark, sf):
     return pages.with_kind_name(frame(spark, sf, SHAPES)).groupBy("kind_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMED = "select l_orderkey % 40 as file_id, l_orderkey as rec_no, l_linenumber as k, case when l_linenumber % 2 = 0 then '%Text(w' else '%Text' end as name, concat(l_returnflag, l_linestatus) as value from lineitem where l_linenumber <= 2"
+_NAMED = "select l_orderkey % 40 as file_id, l_orderkey as rec_no, l_linenumber as k, case when l_linenumber % 2 = 0 then '%Text(w' else '%Text' end as name, concat(l_returnflag, l_linestatus) as value from lineitem"
 
 
 @query("object_text", f"select file_id, rec_no, coalesce(max(case when name = '%Text(w' then value end), max(case when name = '%Text' then value end)) as text from ({_NAMED}) q group by 1, 2")
@@ -183,7 +183,7 @@ def signature_info(spark, sf):
     return pages.signature_info(frame(spark, sf, _SIGN))
 
 
-_SETTINGS = "select l_orderkey % 40 as file_id, l_orderkey as rec_no, case l_linenumber when 1 then 'RECTATT_THICK' when 2 then 'RECTATT_DRAW' when 3 then 'RECTATT_LINECOLOR' end as name, max(l_partkey) as value from lineitem where l_linenumber <= 3 group by 1, 2, 3"
+_SETTINGS = "select l_orderkey % 40 as file_id, l_orderkey as rec_no, case l_linenumber % 3 when 1 then 'RECTATT_THICK' when 2 then 'RECTATT_DRAW' else 'RECTATT_LINECOLOR' end as name, max(l_partkey) as value from lineitem group by 1, 2, 3"
 
 
 @query("shape_of", f"select file_id, rec_no, max(case when name = 'RECTATT_THICK' then value end) as RECTATT_THICK, max(case when name = 'RECTATT_DRAW' then value end) as RECTATT_DRAW, max(case when name = 'RECTATT_LINECOLOR' then value end) as RECTATT_LINECOLOR from ({_SETTINGS}) q group by 1, 2")
@@ -618,12 +618,12 @@ def dirty(spark, sf):
 
 # saving
 
-@query("reachable_entries", "select p_size as file_id, p_partkey as entry_no from part where exists (select 1 from lineitem where l_linenumber = 1 and l_partkey = p_partkey)")
+@query("reachable_entries", "select p_size as file_id, p_partkey as entry_no from part where exists (select 1 from lineitem where p_partkey = l_partkey - l_partkey % 3 + 1)")
 def reachable_entries(spark, sf):
     return save.reachable(frame(spark, sf, ENTRIES), frame(spark, sf, REFS)).select("file_id", "entry_no")
 
 
-@query("garbage_entries", "select p_size as file_id, p_partkey as entry_no from part where not exists (select 1 from lineitem where l_linenumber = 1 and l_partkey = p_partkey)")
+@query("garbage_entries", "select p_size as file_id, p_partkey as entry_no from part where not exists (select 1 from lineitem where p_partkey = l_partkey - l_partkey % 3 + 1)")
 def garbage_entries(spark, sf):
     return save.garbage(frame(spark, sf, ENTRIES), frame(spark, sf, REFS)).select("file_id", "entry_no")
 
