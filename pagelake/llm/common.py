@@ -61,6 +61,30 @@ def free_since(mark: int, *but: DataFrame) -> None:
     _tables[mark:] = but
 
 
+#: Files whose numbers ``numbered`` broadcasts at most, about 20 MB of paths; rows of more files are written with theirs.
+MOST_FILES = 100_000
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a whole number ``name`` of each row that stays the same however often the rows are read.
+
+    Rows of a Parquet table are numbered by their file and their place in it, so nothing is written;
+    rows of anything else, and of tables of more than MOST_FILES files, are written with a number.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
+        relation = plan.relation()
+        if relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and relation.location().rootPaths().size() == 1:
+            place = df.metadataColumn("_metadata")
+            paths = sorted(r[0] for r in df.select(place["file_path"]).distinct().limit(MOST_FILES + 1).collect())
+            if len(paths) <= MOST_FILES:
+                file, first = (unused(x, [*df.columns, name]) for x in ("_file", "_first"))
+                firsts = df.sparkSession.createDataFrame([(x, k << 40) for k, x in enumerate(paths)], f"{file} string, {first} long")
+                found = df.select("*", place["file_path"].alias(file), place["row_index"].alias(name)).join(F.broadcast(firsts), file)
+                return found.withColumn(name, F.col(first) + F.col(name)).select(*(F.col(f"`{c}`") for c in df.columns), name)
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def free(*tables: DataFrame) -> None:
     """Remove tables of ``cut`` that nothing reads any more."""
     for df in tables:
