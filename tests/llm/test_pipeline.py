@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from pagelake.llm import langid, quality
-from pagelake.llm.common import table, tokenizer_path
+from pagelake.llm.common import numbered, table, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +104,18 @@ def test_packing_takes_nulls_repeats_and_empty_tables(spark):
     assert sorted(r.length for r in rows if r.doc_id != 2) == [1, 1, 1]
     assert sorted((r.piece, r.length) for r in rows if r.doc_id == 2) == [(0, 2048), (1, 2048), (2, 5001 - 4096)]
     assert corpus_pipeline.pack(spark, docs.limit(0), "").collect() == []
+
+
+def test_rows_keep_their_numbers_however_often_a_table_is_read(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "odd")
+    odd = spark.range(1000).select("id", F.lit("x").alias("_metadata"), F.lit("y").alias("_file"), F.lit("z").alias("_first"))
+    odd.repartition(7).unionByName(odd.limit(0)).write.parquet(path)
+    for docs in (spark.read.parquet(path), spark.read.parquet(path).filter("id < 500"), odd, spark.read.parquet(path, path), odd.limit(0)):
+        rows = numbered(docs, "_row")
+        assert rows.columns == [*docs.columns, "_row"]
+        first = {r._row: r.id for r in rows.collect()}
+        assert len(first) == docs.count() and first == {r._row: r.id for r in rows.coalesce(1).select("_row", "id").collect()}
+        assert sorted(first.values()) == sorted(r.id for r in docs.collect())
+        assert all((r._metadata, r._file, r._first) == ("x", "y", "z") for r in rows.collect())
