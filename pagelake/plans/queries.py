@@ -206,8 +206,10 @@ def editable(spark, sf):
     return q.groupBy("kind", "marked", "editable").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PIC_OBJECTS = "select o_custkey % 40 as file_id, o_orderkey as rec_no, cast(o_orderkey % 104 as int) as n_pictures from orders"
-_PIC_ATTRS = "select o.o_custkey % 40 as file_id, o.o_orderkey as rec_no, 300 + p.p_partkey as tag, case when p.p_partkey > 100 then '#pd' end as name, case when p.p_partkey > 100 then p.p_partkey end as idx, p.p_partkey * 7 as entry_no from orders o join part p on p.p_partkey <= 104 and p.p_partkey % 10 = o.o_orderkey % 10"
+#: A supplier is an object, its line items are its pictures in their order; some objects want more than they have.
+_PIC_OBJECTS = "select s_suppkey % 40 as file_id, s_suppkey as rec_no, cast(s_suppkey * 37 % 700 as int) as n_pictures from supplier"
+_PIC_LINES = "select l_suppkey % 40 as file_id, l_suppkey as rec_no, cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as int) as k, l_partkey * 7 as entry_no from lineitem"
+_PIC_ATTRS = f"select file_id, rec_no, 300 + k as tag, case when k > 100 then '#pd' end as name, case when k > 100 then k end as idx, entry_no from ({_PIC_LINES}) l"
 
 
 def _object_pictures(spark, sf, objects, attrs):
