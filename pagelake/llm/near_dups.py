@@ -13,6 +13,9 @@
    that a class meets another hub in each of its lists.
 4. The union sketch of a pair (the k smallest of both sketches) estimates the similarity; pairs well
    below are dropped. The bound is so low that a similar pair fails it less than once in a million.
+   A second bound has no misses: each class has the parities of its set's sizes in BUCKETS buckets, and the number of
+   parities in which two sets differ is at most that of the shingles in which they differ. It also drops pairs of long
+   lists as they are formed, so a group whose members are all a little too far apart doesn't give all its pairs.
 5. Exact sets decide. First each class is confirmed with its best candidate, and components are formed;
    then every candidate pair that is still in two components is confirmed. Where long lists still have many
    pairs in two components, their classes beyond a list's largest component are tried against a few of
@@ -45,6 +48,8 @@ K = 32
 HOT = 32
 #: Of a sketch's values, the share that must be shared by a pair that is confirmed exactly.
 LEAST = 0.35
+#: Buckets whose parities are kept, 64 in a long.
+BUCKETS = 1024
 #: Of a sketch's values, the share of hot ones above which a class takes part with its whole set.
 HEAVY = 0.38
 #: Hubs that a class of a long list tries in a round, rounds at most (they end when few tries hit), and pairs a row of a
@@ -76,21 +81,26 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique((s >> np.uint64(1)).astype(np.int64))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether the number of the set's values in each of BUCKETS buckets is odd, as bits of longs."""
+    return np.packbits(np.bincount(s & (BUCKETS - 1), minlength=BUCKETS) & 1).view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n (size of the set), digest of the set, sketch (the K smallest values)."""
+    """doc_id, n (size of the set), digest of the set, sketch (the K smallest values), odd (the parities)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pagelake.llm.near_dups import shingle_set
+        from pagelake.llm.near_dups import parities, shingle_set
 
         kept(("near_dups",), dict)
         for b in (part for whole in batches for part in by_size(whole, 1)):
             sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array([s[:K] for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), *(pa.array(x, pa.list_(pa.int64())) for x in ([s[:K] for s in sets], [parities(s) for s in sets]))], ["doc_id", "n", "digest", "sketch", "odd"])
         give_back()
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n long, digest string, sketch array<long>")
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, n long, digest string, sketch array<long>, odd array<long>")
 
 
 def _bits_of(ids: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
@@ -155,12 +165,18 @@ def _sizes_fit(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) with the union sketch's estimate, those below LEAST dropped."""
-    a, b = (classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+def _odd_fit(percent: int) -> Column:
+    """Whether sets whose parities differ so often can still be similar: those of J >= s differ in (na + nb) (1 - s) / (1 + s) shingles at most."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col("oa")[k].bitwiseXOR(F.col("ob")[k])) for k in range(BUCKETS // 64)))
+    return differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with the union sketch's estimate, those below LEAST and those of too different parities dropped."""
+    a, b = (classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
-    joined = pairs.join(a, "a").join(b, "b").withColumn("u", union).withColumn("est", shared / F.size("u"))
+    joined = pairs.join(a, "a").join(b, "b").filter(_odd_fit(percent)).withColumn("u", union).withColumn("est", shared / F.size("u"))
     return joined.filter(F.col("est") >= LEAST).select("a", "b", "est")
 
 
@@ -188,7 +204,7 @@ def _places_fit(percent: int) -> Column:
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     seen = cut(sketches(docs, words, text, key))
-    classes = seen.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = seen.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
     classes = cut(classes)
     lists = classes.select(F.explode("sketch").alias("v"), "rep", "n")
     often = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -208,9 +224,9 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         rows = rows.join(often, "v")
         a, b = (rows.filter(F.col("c") <= HOT).select("v", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}")) for x in "ab")
         candidates.append(a.join(b, "v").filter("a < b").filter(_sizes_fit(F.col("na"), F.col("nb"), percent) & _places_fit(percent)).select("a", "b"))
-        long_lists = cut(rows.filter(F.col("c") > HOT).select("v", "rep", "n", "pos", "hub"))
+        long_lists = cut(rows.filter(F.col("c") > HOT).join(classes.select("rep", "odd"), "rep").select("v", "rep", "n", "pos", "hub", "odd"))
         candidates.append(long_lists.filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
-    pairs = cut(_estimated(reduce(DataFrame.unionByName, candidates).distinct(), classes))
+    pairs = cut(_estimated(reduce(DataFrame.unionByName, candidates).distinct(), classes, percent))
     free(shared, heavy)
 
     def confirmed(some: DataFrame) -> DataFrame:
@@ -233,7 +249,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
             size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rx") != F.col("main")).alias("o")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("o")).alias("pairs")).first()
             if k == ROUNDS or (size["pairs"] or 0) <= FEW * (size["rows"] or 0):
                 break
-            tried = cut(_estimated(_tries(lists, k, percent), classes))
+            tried = cut(_estimated(_tries(lists, k, percent), classes, percent))
             found = confirmed(tried)
             roots = merged(roots, found)
             if 20 * found.count() < tried.count():
@@ -255,20 +271,20 @@ def _with_main(rows: DataFrame) -> DataFrame:
 
 
 def _tries(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows of a list beyond its main component, each with TRIES rows of that one whose sizes fit."""
-    drawn = [F.min_by(F.struct("x", "n"), F.struct(F.xxhash64(F.lit(k * TRIES + j + 1), "x", "v"), "x")) for j in range(TRIES)]
+    """The rows of a list beyond its main component, each with TRIES rows of that one whose sizes and parities fit."""
+    drawn = [F.min_by(F.struct("x", "n", "odd"), F.struct(F.xxhash64(F.lit(k * TRIES + j + 1), "x", "v"), "x")) for j in range(TRIES)]
     hubs = rows.filter("rx = main").groupBy("v").agg(F.array_distinct(F.array(*drawn)).alias("hubs")).select("v", F.explode("hubs").alias("h"))
-    hubs = hubs.select("v", F.col("h.x").alias("hub"), F.col("h.n").alias("nb"))
-    met = rows.filter("rx <> main").withColumnRenamed("n", "na").join(hubs, "v").filter(_sizes_fit(F.col("na"), F.col("nb"), percent))
+    hubs = hubs.select("v", F.col("h.x").alias("hub"), F.col("h.n").alias("nb"), F.col("h.odd").alias("ob"))
+    met = rows.filter("rx <> main").withColumnsRenamed({"n": "na", "odd": "oa"}).join(hubs, "v").filter(_sizes_fit(F.col("na"), F.col("nb"), percent) & _odd_fit(percent))
     return met.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
 
 
 def _across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of long lists (with their main component) that are in two components: all but the main one against the others."""
-    a = rows.filter("rx <> main").select("v", F.col("x").alias("a"), F.col("rx").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = rows.select("v", F.col("x").alias("b"), F.col("rx").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), (F.col("rx") == F.col("main")).alias("in_main"))
-    met = a.join(b, "v").filter(F.col("ra") != F.col("rb")).filter(F.col("in_main") | (F.col("a") < F.col("b"))).filter(_sizes_fit(F.col("na"), F.col("nb"), percent) & _places_fit(percent))
-    return _estimated(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes).select("a", "b")
+    a = rows.filter("rx <> main").select("v", F.col("x").alias("a"), F.col("rx").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("odd").alias("oa"))
+    b = rows.select("v", F.col("x").alias("b"), F.col("rx").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("odd").alias("ob"), (F.col("rx") == F.col("main")).alias("in_main"))
+    met = a.join(b, "v").filter(F.col("ra") != F.col("rb")).filter(F.col("in_main") | (F.col("a") < F.col("b"))).filter(_sizes_fit(F.col("na"), F.col("nb"), percent) & _places_fit(percent) & _odd_fit(percent))
+    return _estimated(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent).select("a", "b")
 
 
 def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:

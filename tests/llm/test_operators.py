@@ -493,3 +493,36 @@ def test_probes_hold_for_rows_that_the_router_has_not_seen(spark):
         s[q] = -2
         hits.append(len(set(np.argsort(-s)[:5].tolist()) & got[q]) / 5)
     assert np.mean(hits) >= 0.9
+
+
+def test_near_copies_that_are_all_a_little_too_far_apart_do_not_give_all_their_pairs(spark, monkeypatch):
+    rng, pairs = np.random.default_rng(3), []
+    base, rows = [f"w{k}" for k in range(120)], []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(120, 3, replace=False):
+            words[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, t.replace("w5 ", f"y{k} ", 1)) for k, t in rows[:20]]
+    whole = near_dups.confirm
+    monkeypatch.setattr(near_dups, "confirm", lambda some, *rest: (pairs.append(some.count()), whole(some, *rest))[1])
+    got = {r.doc_id: r.component_id for r in near_dups.near_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    sets = {k: set(zip(*(t.split()[i:] for i in range(4)))) for k, t in rows}
+    root = {k: k for k in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    assert got == root and 100 < len(set(got.values())) < 155
+    assert sum(pairs) < 500  # of 14,365
+
+
+def test_parities_drop_no_similar_sets():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 80, 2000, 30_000):
+        for _ in range(20):
+            all_values = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64))
+            x, y = (np.sort(all_values[rng.random(len(all_values)) < p]) for p in (0.95, 0.9))
+            differ = int(np.bitwise_count((near_dups.parities(x) ^ near_dups.parities(y)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(x, y))
+            assert differ % 2 == (len(x) + len(y)) % 2
