@@ -5,9 +5,8 @@ vectors, the first rotated twice and the second once; a text's vector is the sum
 language's prototype is the sum of the unit vectors of its learning texts. A text gets the language of
 the largest cosine; equal ones go to the first by name.
 
-Learning reads at most about ``per_language`` whole texts of each language, chosen by a hash of the
-key, and so does learning the least cosines; these are the only bounds here. Prediction reads whole
-texts and nothing but the text.
+Learning reads all texts whose language is not null, whole, and so does learning the least cosines;
+only sums and counts come to the driver. Prediction reads whole texts and nothing but the text.
 
 Least cosines are learned from labelled texts that the prototypes have not seen, whole and in stretches
 of 1, 2, 4 and so on words: for each language and length, half of the cosine that 99 in 100 reach. Where
@@ -23,7 +22,9 @@ padded with spaces; equal texts have equal results; an empty table gives an empt
 from __future__ import annotations
 
 import functools
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,10 @@ from pagelake.llm.common import by_size, give_back, kept, parts_by_size, ship, t
 
 DIM = 1024
 SLOTS = 1024
-#: What a unit vector's length is learned in: sums of eight million stay whole.
-UNIT = float(1 << 40)
+#: What a unit vector's length is learned in: sums of two thousand million stay whole.
+UNIT = float(1 << 32)
+#: What cosines are counted in, rounded down, to find the one that 99 in 100 reach.
+STEPS = 1 << 16
 #: Trigram vectors that a worker keeps, and that it adds up at once.
 KNOWN, AT_ONCE = 32_768, 2048
 #: Standard deviations of a chance cosine that learned texts must be above, stretches that a length needs, lengths.
@@ -156,31 +159,27 @@ def stretches(text: str) -> Iterator[str]:
         n *= 2
 
 
-def _chosen(known: DataFrame, per_language: int, text: str, lang: str, key: str, most_languages: int) -> DataFrame | None:
-    """Language and text of about ``per_language`` rows of each language, by a hash of the key; None without rows."""
-    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
+def _known(labelled: DataFrame, text: str, lang: str, most_languages: int) -> DataFrame | None:
+    """Language and text of all rows whose language is not null; None without rows."""
+    known = labelled.filter(F.col(lang).isNotNull())
+    languages = known.select(lang).distinct().limit(most_languages + 1).count()
+    if languages > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    if not counts:
-        return None
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1_000_000))
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r[lang]), F.lit(min(1_000_000, -(-per_language * 1_000_000 // r["n"]))))])
-    return known.filter(draw < rate[F.col(lang)]).select(lang, text)
+    return known.select(lang, text) if languages else None
 
 
-def learn(labelled: DataFrame, per_language: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id", most_languages: int = 1000, dim: int = DIM) -> Profiles:
-    """Prototypes from the rows whose language is not null, about ``per_language`` of each at most."""
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = 1000, dim: int = DIM) -> Profiles:
+    """Prototypes from all rows whose language is not null."""
     ship(labelled.sparkSession)
-    known = labelled.filter(F.col(lang).isNotNull())
-    chosen = _chosen(known, per_language, text, lang, key, most_languages)
-    if chosen is None:
+    known = _known(labelled, text, lang, most_languages)
+    if known is None:
         return Profiles((), np.zeros((0, dim), np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.langid import space, trigrams
 
         sp, sums = space(dim), {}  # of each language, in units small enough and whole, so that the order of sums does not matter
-        for b in batches:
+        for b in (part for whole in batches for part in by_size(whole, 1)):
             names = b.column(0).to_pylist()
             for i, codes, counts in trigrams(b.column(1).to_pylist()):
                 v = sp.vector(codes, counts).astype(np.float64)
@@ -190,32 +189,34 @@ def learn(labelled: DataFrame, per_language: int = 3000, text: str = "text", lan
             yield pa.RecordBatch.from_arrays([pa.array([name] * dim, pa.string()), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "at", "x"])
 
     total: dict[str, np.ndarray] = {}
-    for r in chosen.mapInArrow(run, "lang string, at int, x long").groupBy("lang", "at").agg(F.sum("x").alias("x")).collect():
+    for r in known.mapInArrow(run, "lang string, at int, x long").groupBy("lang", "at").agg(F.sum("x").alias("x")).collect():
         total.setdefault(r["lang"], np.zeros(dim))[r["at"]] = r["x"]
     names = tuple(sorted(total))
     rows = np.array([total[x] / max(np.linalg.norm(total[x]), 1e-12) for x in names], np.float32).reshape(len(names), dim)
     return Profiles(names, rows)
 
 
-def learn_least(labelled: DataFrame, profiles: Profiles, per_language: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id", most_languages: int = 1000) -> np.ndarray:
-    """The least cosine of each language and length, from rows that ``profiles`` has not learned; 0 where they show none."""
+def learn_least(labelled: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", most_languages: int = 1000) -> np.ndarray:
+    """The least cosine of each language and length, from all rows given, which ``profiles`` has not learned; 0 where they show none."""
     ship(labelled.sparkSession)
     least = np.zeros((len(profiles.languages), LENGTHS))
-    chosen = _chosen(labelled.filter(F.col(lang).isNotNull()), per_language, text, lang, key, most_languages)
-    if chosen is None or not profiles.languages:
+    known = _known(labelled, text, lang, most_languages)
+    if known is None or not profiles.languages:
         return least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pagelake.llm.langid import stretches
 
-        for b in batches:
+        for b in (part for whole in batches for part in by_size(whole, 1)):
+            found: Counter = Counter()
             for t in b.column(1).to_pylist():
-                found = list(profiles.nearest(list(stretches(t or ""))))
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.float64())], ["k", "length", "cosine"])
+                found.update((k, length, math.floor(cos * STEPS)) for _, k, cos, length in profiles.nearest(list(stretches(t or ""))))
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.int32()) for i in range(3)), pa.array(list(found.values()), pa.int64())], ["k", "length", "step", "n"])
         give_back()
 
-    seen = chosen.mapInArrow(run, "k int, length int, cosine double").groupBy("k", "length").agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", F.lit(0.01)).alias("low"))
-    low = {(r["k"], r["length"]): r["low"] for r in seen.filter(F.col("n") >= ENOUGH).collect()}
+    counts = known.mapInArrow(run, "k int, length int, step int, n long").groupBy("k", "length", "step").agg(F.sum("n").alias("n"))
+    seen = counts.groupBy("k", "length").agg(F.sum("n").alias("of"), (F.percentile("step", F.lit(0.01), F.col("n")) / STEPS).alias("low"))
+    low = {(r["k"], r["length"]): r["low"] for r in seen.filter(F.col("of") >= ENOUGH).collect()}
     chance = NOISE / np.sqrt(profiles.prototypes.shape[1])
     for k in range(len(profiles.languages)):
         known, so_far = sorted(n for j, n in low if j == k), np.inf

@@ -119,3 +119,24 @@ def test_rows_keep_their_numbers_however_often_a_table_is_read(spark, tmp_path):
         assert len(first) == docs.count() and first == {r._row: r.id for r in rows.coalesce(1).select("_row", "id").collect()}
         assert sorted(first.values()) == sorted(r.id for r in docs.collect())
         assert all((r._metadata, r._file, r._first) == ("x", "y", "z") for r in rows.collect())
+
+
+def test_prototypes_and_least_cosines_come_from_all_rows(spark):
+    """4000 equal texts of a language, and another text of it that a draw of 3000 leaves out or finds too seldom to count."""
+    rows = [(k, f"the water runs under the old bridge {'q' * (k % 3)}", "en") for k in range(4000)] + [(k, "zzyzx kwyjibo vvvv", "en") for k in range(4000, 4060)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn(docs)
+    total = np.zeros(langid.DIM)
+    for i, codes, counts in langid.trigrams([t for _, t, _ in rows]):
+        v = langid.space(langid.DIM).vector(codes, counts).astype(float)
+        total += v / np.linalg.norm(v)
+    assert np.abs(profiles.prototypes[0] - total / np.linalg.norm(total)).max() < 1e-6
+    by = defaultdict(list)
+    for _, _, cos, length in profiles.nearest([x for _, t, _ in rows for x in langid.stretches(t)]):
+        by[length].append(cos)
+    least, so_far = langid.learn_least(docs, profiles), np.inf
+    for n in sorted(by, reverse=True):
+        low = np.quantile(by[n], 0.01)
+        so_far = min(so_far, low / 2 if low > langid.NOISE / np.sqrt(langid.DIM) else 0.0)
+        by[n] = so_far
+    assert all(abs(least[0, n] - max(x for m, x in by.items() if m <= n)) < 1 / langid.STEPS for n in by) and max(by.values()) > 0
