@@ -246,10 +246,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         rows = long_lists.withColumnRenamed("rep", "x").drop("hub")
         for k in range(ROUNDS + 1):
             lists = cut(_with_main(root(rows, "x")))
-            size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rx") != F.col("main")).alias("o")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("o")).alias("pairs")).first()
+            size = lists.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rx") != F.col("main")).alias("o")).agg(F.count(F.lit(1)).alias("lists"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("o")).alias("pairs")).first()
             if k == ROUNDS or (size["pairs"] or 0) <= FEW * (size["rows"] or 0):
                 break
             tried = cut(_estimated(_tries(lists, k, percent), classes, percent))
+            if tried.count() <= 2 * TRIES * size["lists"]:  # about two pairs a row of a list are left, so all can be confirmed
+                break
             found = confirmed(tried)
             roots = merged(roots, found)
             if 20 * found.count() < tried.count():
